@@ -1,0 +1,4 @@
+"""The registered queries over the driver's tables and their SQL oracles."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}

@@ -9,8 +9,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one Python step works on at once; bounds a worker's memory whatever the row sizes.
 CHUNK_BYTES = 4 << 20
@@ -73,16 +75,28 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
-def map_texts(df: DataFrame, column: str, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """Run `make()(record_batch)` over chunks of bounded text size; it returns a record batch of `schema`.
+def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields: str) -> DataFrame:
+    """Append the columns that `make()(texts, batch)` returns, chunk by chunk of bounded text size.
 
-    `make` runs once in each task, so models are unpacked once and not for each batch.
+    `make` runs once in each task, so models are unpacked once and not for each batch.  A column of
+    the input that has the name of a new one is replaced.
     """
+    new = T._parse_datatype_string(fields)
+    kept = [f.name for f in df.schema.fields if f.name not in new.names]
+    if column not in kept:  # the text itself is replaced: read it under another name
+        df = df.withColumn("_text_in", F.col(column))
+    out = T.StructType([f for f in df.schema.fields if f.name in kept] + list(new.fields))
+    source = column if column in kept else "_text_in"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for a, b in chunks(batch.column(batch.schema.get_field_index(column))):
-                yield work(batch.slice(a, b - a))
-
-    return df.mapInArrow(run, schema)
+            at = batch.schema.get_field_index(source)
+            for a, b in chunks(batch.column(at)):
+                part = batch.slice(a, b - a)
+                made = work(part.column(at), part)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index(n)) for n in kept] + list(made), names=kept + new.names
+                )
+
+    return df.mapInArrow(run, out)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 
-from strandlog.llm import pieces
+from strandlog.llm import html_text, pieces
 
 #: Where the vocabulary files of public tokenizers are; they are never part of the repository.
 TOKENIZERS = os.environ.get("STRANDLOG_TOKENIZERS", "/opt/tokenizers")
 
 QUERIES: dict = {
+    "op8_html_extraction": html_text.query,
     "op9_sentencepiece": lambda spark, sf_dir: pieces.query(spark, sf_dir, f"{TOKENIZERS}/piece_bpe_32k.model"),
 }
 

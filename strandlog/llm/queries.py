@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 
-from strandlog.llm import html_text, pieces
+from strandlog.llm import html_text, pieces, preference
 
 #: Where the vocabulary files of public tokenizers are; they are never part of the repository.
 TOKENIZERS = os.environ.get("STRANDLOG_TOKENIZERS", "/opt/tokenizers")
 
 QUERIES: dict = {
+    "op1_chat_formatting": preference.query,
     "op8_html_extraction": html_text.query,
     "op9_sentencepiece": lambda spark, sf_dir: pieces.query(spark, sf_dir, f"{TOKENIZERS}/piece_bpe_32k.model"),
 }
 
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op1_chat_formatting": preference.ORACLE,
+}

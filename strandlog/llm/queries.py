@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
-from strandlog.llm import decontaminate, html_text, pieces, preference
+from strandlog.llm import decontaminate, html_text, pieces, preference, toxicity
 
 #: Where the vocabulary files of public tokenizers are; they are never part of the repository.
 TOKENIZERS = os.environ.get("STRANDLOG_TOKENIZERS", "/opt/tokenizers")
 
 QUERIES: dict = {
     "op1_chat_formatting": preference.query,
+    "op2_toxicity": toxicity.query,
     "op3_decontamination": decontaminate.query,
     "op8_html_extraction": html_text.query,
     "op9_sentencepiece": lambda spark, sf_dir: pieces.query(spark, sf_dir, f"{TOKENIZERS}/piece_bpe_32k.model"),

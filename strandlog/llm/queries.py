@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 
-from strandlog.llm import decontaminate, html_text, pieces, preference, toxicity
+from strandlog.llm import decontaminate, html_text, langid, pieces, preference, toxicity
 
 #: Where the vocabulary files of public tokenizers are; they are never part of the repository.
 TOKENIZERS = os.environ.get("STRANDLOG_TOKENIZERS", "/opt/tokenizers")
 
 QUERIES: dict = {
+    "op10_language_id": langid.query,
     "op1_chat_formatting": preference.query,
     "op2_toxicity": toxicity.query,
     "op3_decontamination": decontaminate.query,

@@ -30,7 +30,7 @@ from strandlog.llm.common import Scratch, add_columns, held_out
 ORDER = 4
 SAMPLE_ROWS = 3_000
 #: Slots of the table of priced windows, a power of two.
-SLOTS = 1 << 18
+SLOTS = 1 << 19
 UNDETERMINED = "und"
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32

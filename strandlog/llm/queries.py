@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from strandlog.llm import decontaminate, html_text, langid, line_dedup, pieces, pii, preference, quality, toxicity
+from strandlog.llm import decontaminate, html_text, langid, line_dedup, near_dedup, pieces, pii, preference, quality, toxicity
 
 #: Where the vocabulary files of public tokenizers are; they are never part of the repository.
 TOKENIZERS = os.environ.get("STRANDLOG_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +17,7 @@ QUERIES: dict = {
     "op4_quality_rules": quality.query,
     "op5_pii": pii.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_near_dedup": near_dedup.query,
     "op8_html_extraction": html_text.query,
     "op9_sentencepiece": lambda spark, sf_dir: pieces.query(spark, sf_dir, f"{TOKENIZERS}/piece_bpe_32k.model"),
 }

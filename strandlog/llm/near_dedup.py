@@ -197,13 +197,16 @@ def _rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scrat
     rarest = Window.partitionBy("node").orderBy("df", "x")
     ranked = shared.withColumn("k", F.row_number().over(rarest)).withColumn("common", F.count("*").over(Window.partitionBy("node")))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("common"))
-    prefix = scratch.put(ranked.where(F.col("k") <= length).select("x", "node", "label", "n"), "rest_prefix")
+    # elements from this one on, this one included: the most that a pair can share if it is their first common one
+    rest = F.col("common") - F.col("k") + 1
+    prefix = scratch.put(ranked.where(F.col("k") <= length).select("x", "node", "label", "n", rest.alias("rest")), "rest_prefix")
     by_label = prefix.groupBy("x", "label").agg(F.count("*").alias("c"))
     main = by_label.groupBy("x").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    one = prefix.join(main, "x").where("label <> main").select("x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    two = prefix.select("x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    one = prefix.join(main, "x").where("label <> main").select("x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    two = prefix.select("x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return one.join(two, "x").where((F.col("la") != F.col("lb")) & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return one.join(two, "x").where((F.col("la") != F.col("lb")) & near & enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def find(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

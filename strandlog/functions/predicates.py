@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlog.functions import geo
+
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATS = (T.FloatType, T.DoubleType)
 
@@ -90,6 +92,27 @@ class In(Condition):
     values: list
 
 
+@dataclass
+class Near(Condition):
+    """Within some metres of a place."""
+
+    field: str
+    lat: float
+    lon: float
+    metres: float
+
+
+@dataclass
+class Within(Condition):
+    """Inside a box, its edges included."""
+
+    field: str
+    south: float
+    west: float
+    north: float
+    east: float
+
+
 @dataclass
 class And(Condition):
     parts: list[Condition]
@@ -182,6 +205,12 @@ class Binder:
             if family == "geo":
                 return Binder.bind(self, Or([Eq(cond.field, v) for v in same]))
             return F.coalesce(column.isin(same), F.lit(False)) if same else F.lit(False)
+        if isinstance(cond, Near | Within):
+            if family != "geo":
+                return F.lit(False)
+            if isinstance(cond, Near):
+                return geo.near(column, cond.lat, cond.lon, cond.metres)
+            return geo.within(column, cond.south, cond.west, cond.north, cond.east)
         if isinstance(cond, Like):
             return self._like(column, cond.pattern) if family == "str" else F.lit(False)
         return self._ordered(column, family, cond)

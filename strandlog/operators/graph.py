@@ -16,6 +16,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.functions.geo import near, within  # noqa: F401
 from strandlog.functions.predicates import Condition, bind
 from strandlog.functions.scalars import check_name
 from strandlog.sources.shared import settle
@@ -344,26 +345,3 @@ def merge_maps(old: Column, new: Column) -> Column:
     merged = F.map_zip_with(F.coalesce(old, F.create_map().cast("map<string,string>")), new, lambda _, o, n: F.coalesce(n, o))
     kept = F.map_filter(merged, lambda k, v: v.isNotNull() & ~F.coalesce(F.map_contains_key(new, k) & F.element_at(new, k).isNull(), F.lit(False)))
     return F.when(F.size(kept) > 0, kept)
-
-
-# ---- places
-
-_EARTH_M = 6_371_008.8
-
-
-def distance_m(place: Column, lat: float, lon: float) -> Column:
-    """Great-circle distance in metres of a (lat, lon) struct."""
-    a = F.radians(place.lat - lat) / 2
-    b = F.radians(place.lon - lon) / 2
-    h = F.pow(F.sin(a), 2) + F.cos(F.radians(place.lat)) * F.cos(F.radians(F.lit(lat))) * F.pow(F.sin(b), 2)
-    return 2 * _EARTH_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
-
-
-def near(place: Column, lat: float, lon: float, metres: float) -> Column:
-    """Within a distance; a bounding band of latitudes, which scans understand, goes first."""
-    reach = metres / 111_194.0
-    return F.coalesce(place.lat.between(lat - reach, lat + reach) & (distance_m(place, lat, lon) <= metres), F.lit(False))
-
-
-def within(place: Column, south: float, west: float, north: float, east: float) -> Column:
-    return F.coalesce(place.lat.between(south, north) & place.lon.between(west, east), F.lit(False))

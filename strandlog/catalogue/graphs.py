@@ -143,7 +143,7 @@ def expand_in(spark, d):
 @query("link_query", "SELECT l_orderkey::VARCHAR AS src, l_partkey::VARCHAR AS dst, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity::DECIMAL(18,2)) > 60")
 def link_query(spark, d):
     entries = D.commerce_graph(spark, d).links["contains"].entries
-    return entries.where(G.bind(Gt("quantity", 60.0), entries.schema))
+    return G.restrict(entries, Gt("quantity", 60.0))
 
 
 @query("endpoint_violations", "SELECT c_custkey::VARCHAR AS src, (c_nationkey + 20)::VARCHAR AS dst FROM customer WHERE c_nationkey + 20 > 24")

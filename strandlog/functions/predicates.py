@@ -9,9 +9,10 @@ everything, itself included, and is neither less nor greater.  `Like` knows only
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,19 +177,23 @@ class Binder:
         self.types = {f.name: f.dataType for f in schema.fields}
         self.prefix = prefix
 
-    def bind(self, cond: Condition) -> Column:
+    def bind(self, cond: Condition, settled: bool = True) -> Column:
+        """`settled`: never null.  Without it a null stands for false, which is enough where rows are only kept or
+        dropped, and leaves the comparison in a form that file scans understand."""
         if isinstance(cond, And):
-            out = F.lit(True)
-            for part in cond.parts:
-                out = out & self.bind(part)
-            return out
+            if not cond.parts:
+                return F.lit(True)
+            return reduce(lambda a, b: a & b, [self.bind(p, settled) for p in cond.parts])
         if isinstance(cond, Or):
-            out = F.lit(False)
-            for part in cond.parts:
-                out = out | self.bind(part)
-            return out
+            if not cond.parts:
+                return F.lit(False)
+            return reduce(lambda a, b: a | b, [self.bind(p, settled) for p in cond.parts])
         if isinstance(cond, Not):
             return ~self.bind(cond.part)
+        out = self._leaf(cond)
+        return F.coalesce(out, F.lit(False)) if settled else out
+
+    def _leaf(self, cond: Condition) -> Column:
         kind = self.types.get(cond.field)
         if isinstance(cond, Exists | NotExists):
             absent = F.lit(True) if kind is None else F.col(self.prefix + cond.field).isNull()
@@ -199,12 +204,14 @@ class Binder:
         if isinstance(cond, Eq):
             return self._equal(column, family, cond.value)
         if isinstance(cond, Ne):
-            return ~self._equal(column, family, cond.value)
+            if _family(cond.value) != family or cond.value != cond.value:
+                return F.lit(True)
+            return column.isNull() | (column != _literal(cond.value))
         if isinstance(cond, In):
             same = [v for v in cond.values if _family(v) == family and v == v]
             if family == "geo":
-                return Binder.bind(self, Or([Eq(cond.field, v) for v in same]))
-            return F.coalesce(column.isin(same), F.lit(False)) if same else F.lit(False)
+                return self.bind(Or([Eq(cond.field, v) for v in same]))
+            return column.isin(same) if same else F.lit(False)
         if isinstance(cond, Near | Within):
             if family != "geo":
                 return F.lit(False)
@@ -222,7 +229,7 @@ class Binder:
         out = column == _literal(value)
         if family == "float":
             out = out & ~F.isnan(column)
-        return F.coalesce(out, F.lit(False))
+        return out
 
     @staticmethod
     def _ordered(column: Column, family: str, cond: Any) -> Column:
@@ -237,7 +244,7 @@ class Binder:
         out = _COMPARE[type(cond)](column, F.lit(value))
         if family == "float":
             out = out & ~F.isnan(column)
-        return F.coalesce(out, F.lit(False))
+        return out
 
     @staticmethod
     def _like(column: Column, pattern: str) -> Column:
@@ -254,13 +261,19 @@ class Binder:
             for mark in ("\\", "_"):
                 pattern = pattern.replace(mark, "\\" + mark)
             out = column.like(pattern)
-        return F.coalesce(out, F.lit(False))
+        return out
 
 
 def bind(cond: Condition | None, schema: T.StructType, prefix: str = "") -> Column:
+    """True or false for every row."""
     return F.lit(True) if cond is None else Binder(schema, prefix).bind(cond)
 
 
+def restrict(rows: DataFrame, cond: Condition | None) -> DataFrame:
+    """The rows that meet the condition, with as much of it as possible left to the file scan."""
+    return rows if cond is None else rows.where(Binder(rows.schema).bind(cond, settled=False))
+
+
 def evaluate(cond: Condition, props: dict[str, Any]) -> bool:
     """The same rules for one property map; the model that columns are tested against."""
     if isinstance(cond, And):

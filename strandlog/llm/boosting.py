@@ -25,7 +25,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Boosted:
     base: float = -4.0
     trees: list[Tree] = field(default_factory=list)
-    knots: tuple[np.ndarray, np.ndarray] | None = None  # margin -> calibrated probability
+    curve: tuple[np.ndarray, np.ndarray] | None = None  # margin -> calibrated probability
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -39,7 +39,7 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         margin = self.margin(x)
-        return np.interp(margin, *self.knots) if self.knots is not None else _sigmoid(margin)
+        return np.interp(margin, *self.curve) if self.curve is not None else _sigmoid(margin)
 
     def margin_sql(self, names: list[str]) -> str:
         """The margin as a SQL expression over the named numeric columns."""
@@ -59,9 +59,9 @@ class Boosted:
 
     def margin_for(self, probability: float) -> float:
         """The least margin whose calibrated probability is at least this."""
-        if self.knots is None:
+        if self.curve is None:
             return float(np.log(probability / (1 - probability)))
-        xs, ys = self.knots
+        xs, ys = self.curve
         over = np.flatnonzero(ys >= probability)
         if not len(over):
             return float("inf")
@@ -163,5 +163,5 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
             else Boosted(0.0).margin(x[rest])
         )
     model = _boost(x, y, trees, depth, rate)
-    model.knots = isotonic(out, y)
+    model.curve = isotonic(out, y)
     return model

@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.functions.geo import near, within  # noqa: F401
-from strandlog.functions.predicates import Condition, bind
+from strandlog.functions.predicates import Condition, restrict
 from strandlog.functions.scalars import check_name
 from strandlog.sources.shared import settle
 
-#: Hops after which lineage is cut.
-SETTLE_EVERY = 4
+#: Up to this many hops make one lazy plan; each further hop is written to the shared folder, since a plan that holds
+#: every level twice, as frontier and as visited nodes, would double with each hop.
+LAZY_HOPS = 3
 START, NODE = ["start_tbl", "start_key"], ["tbl", "key"]
 
 
@@ -140,14 +141,15 @@ class Graph:
             else:
                 frontier = reached.select(*START, *NODE).distinct()
             if i + 1 < len(hops):
-                if (i + 1) % SETTLE_EVERY == 0:
-                    frontier, seen = settle(frontier), settle(seen)
+                if i + 1 >= LAZY_HOPS:
+                    frontier = settle(frontier)
+                    seen = settle(seen) if i + 1 == LAZY_HOPS else seen
                 seen = seen.unionByName(frontier.select(*START, *NODE))
         return frontier
 
     def _step(self, frontier: DataFrame, hop: Hop) -> DataFrame:
         link = self._link(hop.link)
-        entries = link.entries.where(bind(hop.link_filter, link.entries.schema))
+        entries = restrict(link.entries, hop.link_filter)
         ways = [(link.target, "dst", link.source, "src")] if hop.backwards else [(link.source, "src", link.target, "dst")]
         if link.bidirectional:
             ways.append((link.source, "src", link.target, "dst") if hop.backwards else (link.target, "dst", link.source, "src"))
@@ -169,7 +171,7 @@ class Graph:
         nodes = self.tables[table]
         if "_set" in nodes.columns:
             nodes = nodes.where(~F.coalesce("_set", F.lit(False)))
-        return nodes.where(bind(cond, nodes.schema)).select(F.col("key").alias("_node"))
+        return restrict(nodes, cond).select(F.col("key").alias("_node"))
 
     def edges(self, reverse: bool) -> DataFrame:
         """All links as (tbl, key, to_tbl, to_key); with `reverse` bidirectional ones both ways."""
@@ -250,8 +252,8 @@ def spread(frontier: DataFrame, edges: DataFrame, max_hops: int | None) -> DataF
         hop += 1
         met = frontier.join(edges, NODE).select(*START, F.col("to_tbl").alias("tbl"), F.col("to_key").alias("key")).distinct()
         frontier = met.join(seen.select(*START, *NODE), [*START, *NODE], "left_anti").withColumn("hops", F.lit(hop))
-        if max_hops is None or hop % SETTLE_EVERY == 0:
-            frontier = settle(frontier)
+        if max_hops is None or (hop >= LAZY_HOPS and hop < max_hops):
+            frontier, seen = settle(frontier), settle(seen) if hop == LAZY_HOPS else seen
             if frontier.isEmpty():
                 break
         seen = seen.unionByName(frontier)
@@ -289,7 +291,7 @@ def _beyond(cursor, sort: Sequence[tuple[str, str]]) -> Column:
 
 def query(nodes: DataFrame, where: Condition | None = None, sort: Sequence[tuple[str, str]] = (), fields: Sequence[str] | dict[str, str] | None = None, limit: int = 0, cursor=None) -> DataFrame:
     """Filter, sort, cut and project; a limit of 0 is none.  `fields` keeps the key; a dict renames (new name -> property)."""
-    out = nodes.where(bind(where, nodes.schema))
+    out = restrict(nodes, where)
     if cursor is not None:
         out = out.where(_beyond(cursor, sort))
     out = out.orderBy(*order_by(sort, nodes.schema))
@@ -307,7 +309,7 @@ def page(nodes: DataFrame, limit: int, where: Condition | None = None, sort: Seq
 
 
 def count(nodes: DataFrame, where: Condition | None = None) -> DataFrame:
-    return nodes.where(bind(where, nodes.schema)).agg(F.count("*").alias("n"))
+    return restrict(nodes, where).agg(F.count("*").alias("n"))
 
 
 def insert(nodes: DataFrame, new: DataFrame) -> DataFrame:

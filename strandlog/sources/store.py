@@ -1,6 +1,6 @@
 """The revision log as Parquet, with atomic commits.
 
-    <root>/data/<commit>/ns=<namespace>/part-*.parquet
+    <root>/data/commit=<commit>/ns=<namespace>/part-*.parquet
     <root>/commits/<number>-<commit>.json      {"commit": ..., "replaces": [...]}
 
 A commit's rows are written first and become visible when its small manifest file is created by a rename, so readers see all
@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlog.operators import log as L
 
@@ -73,20 +74,20 @@ class LogStore:
     def append(self, rows: DataFrame, replaces: list[str] | None = None) -> str:
         """Commit rows of the log schema; one file set per namespace."""
         commit = uuid.uuid4().hex
-        rows.select(L.SCHEMA.names).write.partitionBy("ns").parquet(f"{self.root}/data/{commit}")
+        rows.select(L.SCHEMA.names).write.partitionBy("ns").parquet(f"{self.root}/data/commit={commit}")
         number = len(self.files.names("commits"))
         self.files.write(f"commits/{number:012d}-{commit}.json", json.dumps({"commit": commit, "replaces": replaces or []}))
         return commit
 
     def read(self) -> DataFrame:
         """The log; filters on `ns` skip whole folders, filters on keys and revisions reach the files."""
-        dirs = [f"{self.root}/data/{m['commit']}" for m in self.commits()]
-        dirs = [d for d in dirs if any(n.startswith("ns=") for n in self.files.names(d.removeprefix(f"{self.root}/")))]
-        out = None
-        for d in dirs:
-            one = self.spark.read.schema(L.SCHEMA).option("basePath", d).parquet(d)
-            out = one if out is None else out.unionByName(one)
-        return out.select(L.SCHEMA.names) if out is not None else self.spark.createDataFrame([], L.SCHEMA)
+        names = [f"data/commit={m['commit']}" for m in self.commits()]
+        dirs = [f"{self.root}/{n}" for n in names if any(x.startswith("ns=") for x in self.files.names(n))]
+        if not dirs:
+            return self.spark.createDataFrame([], L.SCHEMA)
+        # one scan over all commits: the plan stays the same however many there are
+        schema = T.StructType([*L.SCHEMA.fields, T.StructField("commit", T.StringType())])
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*dirs).select(L.SCHEMA.names)
 
     def compact(self, now_ms: int) -> str:
         """Rewrite everything visible without what is dead; sorted by key in each file, so scans can skip row groups."""
@@ -97,7 +98,7 @@ class LogStore:
     def vacuum(self) -> int:
         """Delete the data of replaced and of never published commits; returns how many."""
         kept = {m["commit"] for m in self.commits()}
-        gone = [n for n in self.files.names("data") if n not in kept]
+        gone = [n for n in self.files.names("data") if n.removeprefix("commit=") not in kept]
         for n in gone:
             self.files.delete(f"data/{n}")
         return len(gone)
@@ -107,12 +108,12 @@ class LogStore:
         bad = []
         for m in self.commits():
             try:
-                self.spark.read.parquet(f"{self.root}/data/{m['commit']}").agg(F.count("rev"), F.max("value")).collect()
+                self.spark.read.parquet(f"{self.root}/data/commit={m['commit']}").agg(F.count("rev"), F.max("value")).collect()
             except Exception:  # any reader's failure means that the commit can't serve
                 bad.append(m["commit"])
         if bad:
             commit = uuid.uuid4().hex
-            self.files.fs.mkdirs(self.files.path(f"data/{commit}"))
+            self.files.fs.mkdirs(self.files.path(f"data/commit={commit}"))
             self.files.write(f"commits/{len(self.files.names('commits')):012d}-{commit}.json", json.dumps({"commit": commit, "replaces": bad}))
         return {"kept": len(self.commits()) - bool(bad), "dropped": len(bad)}
 

@@ -106,7 +106,7 @@ def test_random_operations_against_a_dictionary(engine):
 def test_store_is_atomic_and_reopens(engine, spark, tmp_path):
     n = engine.namespace("a")
     n.put("k", "v")
-    spark.createDataFrame([("a", None, "lost", (9, 0, 0, 9), "data", bytearray(b"?"), None, None, 0)], L.SCHEMA).write.partitionBy("ns").parquet(f"{engine.store.root}/data/unpublished")
+    spark.createDataFrame([("a", None, "lost", (9, 0, 0, 9), "data", bytearray(b"?"), None, None, 0)], L.SCHEMA).write.partitionBy("ns").parquet(f"{engine.store.root}/data/commit=unpublished")
     again = Engine(spark, engine.store.root, clock=lambda: 5)
     assert again.namespace("a").scan() == ["k"] and again.store.vacuum() == 1
     again.namespace("a").put("k", "w")  # the clock stands behind what is stored; revisions still grow
@@ -126,10 +126,10 @@ def test_dump_load_and_repair(engine, spark, tmp_path):
     with pytest.raises(FileExistsError):
         ST.load(spark, str(tmp_path / "dump"), other, lambda rev: rev)
     bad = other.append(other.read())
-    for name in other.files.names(f"data/{bad}/ns=a"):
+    for name in other.files.names(f"data/commit={bad}/ns=a"):
         if name.endswith(".parquet"):
-            other.files.delete(f"data/{bad}/ns=a/{name}")
-            other.files.write(f"data/{bad}/ns=a/{name}", "not parquet")
+            other.files.delete(f"data/commit={bad}/ns=a/{name}")
+            other.files.write(f"data/commit={bad}/ns=a/{name}", "not parquet")
     assert other.repair() == {"kept": 1, "dropped": 1}
     assert other.read().count() == 1
 

@@ -46,6 +46,11 @@ def _starts(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), count.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _once(value: str, name: str, body: str) -> str:
+    """`body` with `name` bound to `value`, which is then computed once however the optimizer merges projections."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _block_size(n_words: int) -> int:
     return (min(n_words, WINDOW) + 1) // 2
 
@@ -94,21 +99,21 @@ def _hits_by_set(docs: DataFrame, bench: Benchmark, text_col: str) -> DataFrame:
     """One row per document and verified window, one at least per document."""
     docs = docs.withColumn("_loose", word_list(F.lower(text_col))).withColumn("_n", F.size("_loose"))
     tests = [
-        f"exists(transform(CASE WHEN _n >= {m} THEN sequence(0, _n DIV {m} - 1) ELSE array() END, "
-        f"i -> xxhash64(slice(_loose, CAST(i AS INT) * {m} + 1, {m}))), h -> {_in_set('h', found)})"
+        _once("_loose", "w", f"exists(transform(CASE WHEN size(w) >= {m} THEN sequence(0, size(w) DIV {m} - 1) ELSE array() END, "
+        f"i -> xxhash64(slice(w, CAST(i AS INT) * {m} + 1, {m}))), h -> {_in_set('h', found)})")
         for m, found in bench.block_set.items()
         if found
     ]
     docs = docs.withColumn("_near", F.expr(" OR ".join(tests) or "false"))
     docs = docs.withColumn("_w", F.when(F.col("_near"), word_list(ascii_lower(F.col(text_col)))))
     scans = [
-        f"transform(filter(CASE WHEN _n >= {n} THEN sequence(0, _n - {n}) ELSE array() END, "
-        f"i -> {_in_set(f'xxhash64(slice(_w, CAST(i AS INT) + 1, {n}))', found)}), "
-        f"i -> named_struct('pos', CAST(i AS INT), 'len', {n}, 'window', array_join(slice(_w, CAST(i AS INT) + 1, {n}), ' ')))"
+        f"transform(filter(CASE WHEN size(w) >= {n} THEN sequence(0, size(w) - {n}) ELSE array() END, "
+        f"i -> {_in_set(f'xxhash64(slice(w, CAST(i AS INT) + 1, {n}))', found)}), "
+        f"i -> named_struct('pos', CAST(i AS INT), 'len', {n}, 'window', array_join(slice(w, CAST(i AS INT) + 1, {n}), ' ')))"
         for n, found in bench.window_set.items()
     ]
     empty = "CAST(array() AS ARRAY<STRUCT<pos: INT, len: INT, window: STRING>>)"
-    docs = docs.withColumn("_hits", F.expr(f"CASE WHEN _near THEN concat({', '.join(scans)}) ELSE {empty} END" if scans else empty))
+    docs = docs.withColumn("_hits", F.expr(f"CASE WHEN _near THEN {_once('_w', 'w', f'concat({chr(44).join(scans)})')} ELSE {empty} END" if scans else empty))
     flat = docs.select("_row", "doc_id", F.col("_n").alias("n_words"), F.explode_outer("_hits").alias("_hit"))
     flat = flat.select("_row", "doc_id", "n_words", "_hit.pos", "_hit.len", "_hit.window")
     return flat.join(F.broadcast(bench.windows), ["len", "window"], "left").where("len IS NULL OR items IS NOT NULL")
@@ -117,17 +122,12 @@ def _hits_by_set(docs: DataFrame, bench: Benchmark, text_col: str) -> DataFrame:
 def _hits_by_join(docs: DataFrame, bench: Benchmark, text_col: str) -> DataFrame:
     """As `_hits_by_set`, for a benchmark of any size: window hashes meet in a shuffle."""
     docs = docs.withColumn("_w", word_list(ascii_lower(F.col(text_col)))).withColumn("_n", F.size("_w"))
-    per_size = [
-        F.transform(
-            _starts(F.col("_n") - n + 1),
-            lambda i, n=n: F.struct(
-                i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice("_w", i + 1, n)).alias("h1"),
-                F.xxhash64(F.lit(n), F.slice("_w", i + 1, n)).alias("h2"),
-            ),
-        )
+    sizes = [
+        f"transform(CASE WHEN size(w) >= {n} THEN sequence(0, size(w) - {n}) ELSE array() END, i -> named_struct('pos', CAST(i AS INT), 'len', {n}, "
+        f"'h1', xxhash64(slice(w, CAST(i AS INT) + 1, {n})), 'h2', xxhash64({n}, slice(w, CAST(i AS INT) + 1, {n}))))"
         for n in bench.lengths
     ]
-    rows = docs.select("_row", F.inline(F.concat(*per_size)))
+    rows = docs.select("_row", F.inline(F.expr(_once("_w", "w", f"concat({', '.join(sizes)})"))))
     words = F.split("window", " ")
     known = bench.windows.select("len", F.xxhash64(words).alias("h1"), F.xxhash64(F.col("len"), words).alias("h2"), "items")
     found = rows.join(known, ["len", "h1", "h2"]).select("_row", "pos", "len", "items")

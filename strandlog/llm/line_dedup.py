@@ -107,9 +107,9 @@ def repeated_runs(table: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with the text's later repeats deleted, `removed_runs` and `n_removed_lines`."""
     table = scratch.put(windows(docs, text_col, id_col, min_words), "line_windows")
-    keyed = docs.drop("removed_runs", "n_removed_lines").withColumns(dict(zip(("_ka", "_kb"), text_key(F.col(id_col), F.col(text_col)))))
-    runs = repeated_runs(table).select(F.col("key_a").alias("_ka"), F.col("key_b").alias("_kb"), F.col("runs").alias("removed_runs"))
-    met = keyed.join(runs, ["_ka", "_kb"], "left").drop("_ka", "_kb")
+    keyed = docs.drop("removed_runs", "n_removed_lines").withColumns(dict(zip(("_strandlog_ka", "_strandlog_kb"), text_key(F.col(id_col), F.col(text_col)))))
+    runs = repeated_runs(table).select(F.col("key_a").alias("_strandlog_ka"), F.col("key_b").alias("_strandlog_kb"), F.col("runs").alias("removed_runs"))
+    met = keyed.join(runs, ["_strandlog_ka", "_strandlog_kb"], "left").drop("_strandlog_ka", "_strandlog_kb")
     kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.exists("removed_runs", lambda r: i.between(r.start, r.stop)))
     n = F.aggregate("removed_runs", F.lit(0), lambda a, r: a + (r.stop - r.start + 1).cast("int"))
     return met.withColumns({

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlog.llm.common import add_columns
 
@@ -344,8 +345,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "token_ids") -> DataFr
                 yield part.append_column("decoded", model.decode(part.column(part.schema.get_field_index(ids_col))))
 
     kept = df.drop("decoded")
-    schema = kept.schema.add("decoded", "string")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:

@@ -374,3 +374,9 @@ def rev_print(spark, d):
     bits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(26)), lambda i: F.lpad(F.conv(digit(i).cast("string"), 10, 2), 5, "0")), "")
     part = lambda at, n: F.conv(F.substring(bits, at, n), 2, 10).cast("bigint")
     return shown.select(part(83, 48).alias("event_id"), part(3, 48).alias("ts_ms"))
+
+
+@query("kv_keys", f"WITH {LIVE} SELECT k FROM live")
+def kv_keys(spark, d):
+    """Live keys only; values aren't read."""
+    return L.live_keys(D.event_log(spark, d), NOW_MS).select(F.col("key_i").alias("k"))

@@ -57,6 +57,11 @@ def live(log: DataFrame, now_ms: int, keys: list[str] | None = None) -> DataFram
     return latest(log, keys).where(~dead(now_ms))
 
 
+def live_keys(log: DataFrame, now_ms: int, keys: list[str] | None = None) -> DataFrame:
+    """Live keys without their values: what scans and counts need, so values are never read."""
+    return live(log.select(*(keys or KEY), "rev", "op", "expires_at_ms"), now_ms, keys)
+
+
 def as_of(log: DataFrame, ts_ms: int, keys: list[str] | None = None, now_ms: int | None = None) -> DataFrame:
     """The live view as it was at `ts_ms`."""
     return live(log.where(F.col("rev.ts_ms") <= ts_ms), ts_ms if now_ms is None else now_ms, keys)

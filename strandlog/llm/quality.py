@@ -31,9 +31,10 @@ ORDER = 4
 CLASSES = 40
 MODELS = 8
 SHARED = "\u0000other"
-#: Robust standard deviations on either side of the median, and the least such deviation in bits.
-BELOW, LEAST_BELOW = 6.0, 0.035
-ABOVE, LEAST_ABOVE = 12.0, 0.05
+#: Robust standard deviations on either side of the median, and the least reach in bits: above, twice the
+#: median perplexity, which a text that quotes another language doesn't exceed but one written in it does.
+BELOW, LEAST_BELOW = 6.0, 0.21
+ABOVE, LEAST_ABOVE = 12.0, 1.0
 #: Bits added on either side, divided by the root of the number of symbols.
 SHORT = 2.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -298,7 +299,7 @@ def bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
         middle = float(at[np.searchsorted(n.cumsum(), n.sum() / 2)])
         off = np.argsort(np.abs(at - middle))
         spread = 1.4826 * float(np.abs(at - middle)[off][np.searchsorted(n[off].cumsum(), n.sum() / 2)])
-        out[name] = (middle - BELOW * max(spread, LEAST_BELOW), middle + ABOVE * max(spread, LEAST_ABOVE))
+        out[name] = (middle - max(BELOW * spread, LEAST_BELOW), middle + max(ABOVE * spread, LEAST_ABOVE))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.operators.graph import Graph, Link
@@ -17,19 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ms(ts: str = "ts"):
+def _ms(ts: str = "ts") -> Column:
     """Epoch milliseconds of a timestamp without zone, read as UTC whatever the session's zone is."""
-    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})")
+    seconds = f"CAST(floor(extract(SECOND FROM {ts}) * 1000) AS BIGINT)"
+    return F.expr(f"unix_date(CAST({ts} AS DATE)) * 86400000L + hour({ts}) * 3600000L + minute({ts}) * 60000L + {seconds}")
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key: user; revision: event; `error` deletes, `view` expires after an hour."""
-    e = table(spark, sf_dir, "events")
+    return as_event_log(table(spark, sf_dir, "events"))
+
+
+def as_event_log(e: DataFrame, value: Column | None = None) -> DataFrame:
+    """Events, a table or a stream of them, as log rows."""
     ts = _ms()
     return e.select(
         F.lit("events").alias("ns"), F.col("user_id").cast("bigint").alias("key_i"), F.lit(None).cast("string").alias("key_s"),
         revision(ts, F.col("event_id")).alias("rev"), F.when(F.col("event_type") == "error", "tombstone").otherwise("data").alias("op"),
-        F.when(F.col("event_type") != "error", F.col("value").cast("string").cast("binary")).alias("value"),
+        F.when(F.col("event_type") != "error", (F.col("value") if value is None else value).cast("string").cast("binary")).alias("value"),
         F.lit(None).cast("string").alias("obj_hash"), F.lit(None).cast("bigint").alias("obj_size"),
         F.when(F.col("event_type") == "view", ts + HOUR_MS).otherwise(F.lit(0)).cast("bigint").alias("expires_at_ms"),
     )
@@ -65,7 +70,10 @@ def empty_log(spark: SparkSession) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue: event type; every event is a message; those of `view` expire after an hour."""
-    e = table(spark, sf_dir, "events")
+    return as_messages(table(spark, sf_dir, "events"))
+
+
+def as_messages(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_type").alias("queue"), F.lpad(F.col("event_id").cast("string"), 26, "0").alias("msg_id"), F.col("props").alias("body"),
         F.when(F.col("event_type") == "view", _ms() + HOUR_MS).otherwise(F.lit(0)).cast("bigint").alias("expires_at_ms"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from strandlog.llm import decontaminate, html_text, langid, line_dedup, near_dedup, pieces, pii, preference, quality, toxicity
+from strandlog.llm import decontaminate, html_text, langid, line_dedup, near_dedup, oracles, pieces, pii, preference, quality, toxicity
 
 #: Where the vocabulary files of public tokenizers are; they are never part of the repository.
 TOKENIZERS = os.environ.get("STRANDLOG_TOKENIZERS", "/opt/tokenizers")
@@ -23,6 +23,8 @@ QUERIES: dict = {
 }
 
 ORACLES: dict = {
+    "op6_line_dedup": oracles.LINE_DEDUP,
+    "op7_near_dedup": oracles.NEAR_DEDUP,
     "op3_decontamination": decontaminate.ORACLE,
     "op1_chat_formatting": preference.ORACLE,
 }

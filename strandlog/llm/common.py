@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one Python step works on at once; bounds a worker's memory whatever the row sizes.
 CHUNK_BYTES = 4 << 20
+#: Rows that Spark sends to Python at once, if the session says more: texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,7 +78,22 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
-def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays for later tasks, beside the JVM in one executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """Append the columns that `make()(texts, batch)` returns, chunk by chunk of bounded text size.
 
     `make` runs once in each task, so models are unpacked once and not for each batch.  A column of
@@ -88,15 +106,19 @@ def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields
     out = T.StructType([f for f in df.schema.fields if f.name in kept] + list(new.fields))
     source = column if column in kept else "_text_in"
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             at = batch.schema.get_field_index(source)
-            for a, b in chunks(batch.column(at)):
+            for a, b in chunks(batch.column(at), limit):
                 part = batch.slice(a, b - a)
                 made = work(part.column(at), part)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(n)) for n in kept] + list(made), names=kept + new.names
                 )
+        del work
+        give_back()
 
     return df.mapInArrow(run, out)

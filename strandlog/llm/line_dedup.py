@@ -12,7 +12,7 @@ passed over but go with a run that encloses them.
    Each window's first place, by document id and line, stays; all later places are deleted.
 
 A group of any size is reduced to its first place by an aggregate before anything is joined to it; no pairs are
-formed.  The join of places to first places can be split by adaptive execution where a passage is very common.
+formed.  All places of one window meet their first place in one task, as rows of a few numbers.
 
 Cases: null text stays null; rows that repeat an id and text count as one document and get the same result; null
 ids come first; a text that consists of repeats becomes empty, its row stays.  A run that repeats inside one text is

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import Scratch, add_columns
+from strandlog.llm.common import Scratch, add_columns, chunks, give_back, small_batches
 
 ORDER = 4
 CLASSES = 40
@@ -39,12 +39,14 @@ ABOVE, LEAST_ABOVE = 12.0, 1.0
 SHORT = 2.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SIZE = CLASSES**ORDER
+#: Bytes of text worked on at once: each byte takes some 50 bytes of arrays.
+_CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _classes() -> np.ndarray:
     """Byte -> class; 0 is kept for what is before a text."""
-    out = np.full(256, 33, np.int64)
+    out = np.full(256, 33, np.int32)
     out[:32] = 34
     out[127] = 34
     out[[32, 9, 11, 12, 13]] = 1
@@ -78,11 +80,13 @@ def grams(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each byte the number of the n-gram that ends at it."""
     kind = _CLASS_OF[raw]
     out = kind.copy()
-    where = np.arange(len(raw)) - np.repeat(ends[:-1], np.diff(ends))
+    starts = ends[:-1][np.diff(ends) > 0]
     for k in range(1, ORDER):
         part = np.zeros_like(kind)
-        part[k:] = kind[:-k] * CLASSES**k
-        part[where < k] = 0
+        part[k:] = kind[:-k] * np.int32(CLASSES**k)
+        for ahead in range(k):  # nothing of the text before
+            first = starts + ahead
+            part[first[first < len(part)]] = 0
         out += part
     return out
 
@@ -222,22 +226,23 @@ def count_grams(docs: DataFrame, own: set[str]) -> DataFrame:
 
     def run(batches):
         tables: dict[str, np.ndarray] = {}
-        from strandlog.llm.common import chunks
-
         for batch in batches:
-            for a, b in chunks(batch.column(0)):
+            for a, b in chunks(batch.column(0), _CHUNK):
                 part = batch.slice(a, b - a)
                 raw, ends = _raw(part.column(0))
                 names = _group(part.column(1), own)
                 found = grams(raw, ends)
-                of = np.repeat(np.arange(len(names)), np.diff(ends))
                 for name in set(names.tolist()):
-                    table = tables.setdefault(name, np.zeros(_SIZE, np.int64))
-                    table += np.bincount(found[(names == name)[of]], minlength=_SIZE)
+                    if name not in tables:
+                        tables[name] = np.zeros(_SIZE, np.int64)
+                    np.add.at(tables[name], found[np.repeat(names == name, np.diff(ends))], 1)
         for name, table in tables.items():
             keys = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(table[keys])], names=["model", "gram", "n"])
+        tables.clear()
+        give_back()
 
+    small_batches(docs.sparkSession)
     counted = docs.select("text", "lang").mapInArrow(run, "model string, gram bigint, n bigint")
     return counted.groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
@@ -265,12 +270,11 @@ def measure(docs: DataFrame, models: dict[str, KneserNey], own: set[str]) -> Dat
             raw, ends = _raw(texts)
             names = _group(batch.column(batch.schema.get_field_index("lang")), own)
             found = grams(raw, ends)
-            of = np.repeat(np.arange(len(names)), np.diff(ends))
             each = np.zeros(len(found), np.float32)
             for name in set(names.tolist()):
                 if name not in known:
                     continue
-                mine = (names == name)[of]
+                mine = np.repeat(names == name, np.diff(ends))
                 keys = found[mine]
                 table = priced[name]
                 new = keys[np.isnan(table[keys])]
@@ -286,7 +290,7 @@ def measure(docs: DataFrame, models: dict[str, KneserNey], own: set[str]) -> Dat
         return work
 
     fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, model string, bits double, symbols bigint"
-    return add_columns(docs, "text", make, fields)
+    return add_columns(docs, "text", make, fields, _CHUNK)
 
 
 def bands(measured: DataFrame) -> dict[str, tuple[float, float]]:

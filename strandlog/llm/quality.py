@@ -6,10 +6,12 @@ n-grams of every document; `CLASSES ** ORDER` bounds each language's table whate
 models, held as sorted hash arrays, may be sent to every task.  The `MODELS` languages with most
 documents get a model of their own, all others (and null) share one.
 
-Per language the distribution of bits per symbol over all documents that pass the counts gives the
-band: from `BELOW` robust standard deviations under the median to `ABOVE` over it, wider for short texts,
-whose averages vary more.  A document outside is rejected: far below it repeats itself or is full of marks, far
-above it isn't written in its language.
+The bands are drawn on bits per letter (or digit): marks between the words cost bits and give no letters.  Per
+language the distribution over all documents that pass the counts gives the band, from `BELOW` robust standard
+deviations under the median to `ABOVE` over it, wider for short texts, whose averages vary more.  The lower end holds
+for the whole text; the upper one for the middle one of its pieces of `PIECE` symbols, so that a quotation in
+another language that fills less than half of a text doesn't count.  A document outside is rejected: far below it
+repeats itself, far above it is full of marks or isn't written in its language.
 
 Cases: a null text has no words; an empty text fails (fewer than 50 words); documents of a language without any
 other document are judged by the shared model; no document is dropped here, `kept` says what to do.
@@ -31,10 +33,10 @@ ORDER = 4
 CLASSES = 40
 MODELS = 8
 SHARED = "\u0000other"
-#: Robust standard deviations on either side of the median, and the least reach in bits: above, twice the
-#: median perplexity, which a text that quotes another language doesn't exceed but one written in it does.
-BELOW, LEAST_BELOW = 6.0, 0.21
-ABOVE, LEAST_ABOVE = 12.0, 1.0
+#: Robust standard deviations on either side of the median.
+BELOW = ABOVE = 5.0
+#: Symbols in a piece of a text, of which the middle one is held against the upper end.
+PIECE = 256
 #: Bits added on either side, divided by the root of the number of symbols.
 SHORT = 2.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -62,6 +64,7 @@ def _classes() -> np.ndarray:
 
 
 _CLASS_OF = _classes()
+_LETTER = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 256)])
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _FOLLOWS = np.arange(256) >> 6 == 2
@@ -99,6 +102,22 @@ def _per_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def middle_piece(bits: np.ndarray, letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per text: bits per letter of its middle piece, the lower one of two."""
+    size = np.diff(ends)
+    out = np.zeros(len(size))
+    used = np.flatnonzero(size)
+    if not len(used):
+        return out
+    n = np.maximum(size[used] // PIECE, 1)
+    first = np.cumsum(n) - n
+    owner = np.repeat(used, n)
+    start = ends[owner] + (np.arange(len(owner)) - np.repeat(first, n)) * size[owner] // np.repeat(n, n)
+    each = np.add.reduceat(bits, start, dtype=np.float64) / np.maximum(np.add.reduceat(letters, start, dtype=np.int64), 1)
+    out[used] = each[np.lexsort((each, owner))[first + (n - 1) // 2]]
+    return out
+
+
 # ---------------------------------------------------------------- base counts
 
 
@@ -258,7 +277,7 @@ def fit_models(docs: DataFrame, own: set[str]) -> dict[str, KneserNey]:
 
 
 def measure(docs: DataFrame, models: dict[str, KneserNey], own: set[str]) -> DataFrame:
-    """Append the base counts, `model`, `bits` per symbol (null without text) and `base_failed`."""
+    """Append the base counts, `model`, `bits` per symbol, `per_letter` and `middle` (null without text) and `base_failed`."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def make():
@@ -282,28 +301,34 @@ def measure(docs: DataFrame, models: dict[str, KneserNey], own: set[str]) -> Dat
                     new = np.unique(new)
                     table[new] = known[name].bits(new)
                 each[mine] = table[keys]
-            size = np.diff(ends)
-            bits = _per_text(each.astype(np.float64), ends) / np.maximum(size, 1)
+            size, letter = np.diff(ends), _LETTER[raw]
+            total = _per_text(each.astype(np.float64), ends)
+            per_letter = total / np.maximum(_per_text(letter.astype(np.int64), ends), 1)
             failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
-            return [*map(pa.array, (n, chars, symbols, lines, repeated)), pa.array(failed), pa.array(names.tolist(), pa.string()), pa.array(bits, mask=size == 0), pa.array(size)]
+            return [*map(pa.array, (n, chars, symbols, lines, repeated)), pa.array(failed), pa.array(names.tolist(), pa.string()), *(pa.array(x, mask=size == 0) for x in (total / np.maximum(size, 1), per_letter, middle_piece(each, letter, ends))), pa.array(size)]
 
         return work
 
-    fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, model string, bits double, symbols bigint"
+    fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, model string, bits double, per_letter double, middle double, symbols bigint"
     return add_columns(docs, "text", make, fields, _CHUNK)
 
 
 def bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
-    """Per model the least and greatest bits per symbol, from a histogram over all documents."""
-    bins = measured.where("NOT base_failed AND bits IS NOT NULL").groupBy("model", F.floor(F.col("bits") * 200).alias("b")).count().collect()
-    out = {}
-    for name in {r.model for r in bins}:
-        own = sorted((r.b, r["count"]) for r in bins if r.model == name)
+    """Per model the least bits per letter of a text and the most of its middle piece, from histograms over all documents."""
+    passed = measured.where("NOT base_failed AND bits IS NOT NULL")
+    bins = {end: passed.groupBy("model", F.floor(F.col(end) * 200).alias("b")).count().collect() for end in ("per_letter", "middle")}
+
+    def reach(name: str, end: str) -> tuple[float, float]:
+        own = sorted((r.b, r["count"]) for r in bins[end] if r.model == name)
         at, n = np.array([(b + 0.5) / 200 for b, _ in own]), np.array([c for _, c in own])
         middle = float(at[np.searchsorted(n.cumsum(), n.sum() / 2)])
         off = np.argsort(np.abs(at - middle))
-        spread = 1.4826 * float(np.abs(at - middle)[off][np.searchsorted(n[off].cumsum(), n.sum() / 2)])
-        out[name] = (middle - max(BELOW * spread, LEAST_BELOW), middle + max(ABOVE * spread, LEAST_ABOVE))
+        return middle, 1.4826 * float(np.abs(at - middle)[off][np.searchsorted(n[off].cumsum(), n.sum() / 2)])
+
+    out = {}
+    for name in {r.model for r in bins["middle"]}:
+        (low, below), (high, above) = reach(name, "per_letter"), reach(name, "middle")
+        out[name] = (low - BELOW * below, high + ABOVE * above)
     return out
 
 
@@ -321,8 +346,8 @@ def judge(docs: DataFrame, scratch: Scratch | None = None, columns: list[str] |
     found = bands(measured)
     inside, slack = F.lit(False), SHORT / F.sqrt(F.greatest("symbols", F.lit(1)))
     for name, (low, high) in sorted(found.items()):
-        inside = inside | ((F.col("model") == name) & F.col("bits").between(low - slack, high + slack))
-    return measured.withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("model", "bits", "symbols")
+        inside = inside | ((F.col("model") == name) & (F.col("per_letter") >= low - slack) & (F.col("middle") <= high + slack))
+    return measured.withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("model", "bits", "per_letter", "middle", "symbols")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Quality rules: counts that fail a document outright, then a perplexity band for its language.
 
-The language model is an interpolated modified Kneser-Ney model over n-grams of `ORDER` folded byte
-classes (letters without case, digits, kinds of punctuation, UTF-8 lead and continuation bytes).  Spark counts the
-n-grams of every document; `CLASSES ** ORDER` bounds each language's table whatever the corpus, so the
-models, held as sorted hash arrays, may be sent to every task.  The `MODELS` languages with most
-documents get a model of their own, all others (and null) share one.
+The language model is an interpolated modified Kneser-Ney model over n-grams of `ORDER` characters as they are.  Spark
+counts the n-grams of every document, and counts, contexts and probabilities stay distributed tables that grow with
+the corpus; nothing of their size comes to the driver or to every task.  Texts are dealt into parts of about `PART`
+bytes; each part asks for its distinct n-grams, a join answers, and the answers meet the part's texts again.  The
+`MODELS` languages with most documents get a model of their own, all others (and null) share one.
 
 The bands are drawn on bits per letter (or digit): marks between the words cost bits and give no letters.  Per
 language the distribution over all documents that pass the counts gives the band, from `BELOW` robust standard
@@ -26,8 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandlog.llm.common import Scratch, add_columns, chunks, give_back, small_batches
+from strandlog.llm.common import Scratch, chunks, give_back, small_batches
 
 ORDER = 4
 CLASSES = 40
@@ -40,9 +41,13 @@ PIECE = 256
 #: Bits added on either side, divided by the root of the number of symbols.
 SHORT = 2.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-_SIZE = CLASSES**ORDER
 #: Bytes of text worked on at once: each byte takes some 50 bytes of arrays.
 _CHUNK = 1 << 20
+#: Bytes of text whose n-grams are asked for together.
+PART = 16 << 20
+#: Bits that hold a character's number plus 1 (0 is before a text) in an n-gram.
+_BITS = 21
+_LOW = (1 << _BITS) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +69,6 @@ def _classes() -> np.ndarray:
 
 
 _CLASS_OF = _classes()
-_LETTER = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 256)])
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _FOLLOWS = np.arange(256) >> 6 == 2
@@ -197,7 +201,9 @@ class SortedHashes:
 
 @dataclass
 class KneserNey:
-    """Per order: what an n-gram's own count gives, and what its context leaves to the shorter order."""
+    """In memory, over the folded classes of `grams`: what `price` does in Spark, for tests to hold against.
+
+    Per order: what an n-gram's own count gives, and what its context leaves to the shorter order."""
 
     own: list[SortedHashes]
     left: list[SortedHashes]
@@ -230,87 +236,171 @@ class KneserNey:
         return -np.log2(p)
 
 
-def _group(langs: pa.Array, own: set[str]) -> np.ndarray:
-    return np.array([x if x in own else SHARED for x in langs.to_pylist()], object)
-
-
 def own_models(docs: DataFrame, models: int = MODELS) -> set[str]:
     """The languages with most documents."""
     counts = docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(models)
     return {r.lang for r in counts.collect()}
 
 
-def count_grams(docs: DataFrame, own: set[str]) -> DataFrame:
-    """(model, gram, n) over all documents; each task adds up its own before the shuffle."""
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' characters as numbers, and offsets."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64), ends
+
+
+def _letters(points: np.ndarray) -> np.ndarray:
+    """Letters and digits; all that isn't ASCII counts as such."""
+    lower = points | 32
+    return (points >= 128) | ((lower >= 97) & (lower <= 122)) | ((points >= 48) & (points <= 57))
+
+
+def _distinct(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them."""
+    if size > 1 << 23:
+        return np.unique(keys, return_inverse=True)
+    place = np.zeros(size, np.int64)
+    place[keys] = 1
+    found = np.flatnonzero(place)
+    place[found] = np.arange(len(found))
+    return found, place[keys]
+
+
+def wide_grams(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of whole characters, as first and last half, and for each character the one that ends at it."""
+    kinds, at = _distinct(points + 1, 1 << _BITS)
+    kinds, at = np.concatenate([[0], kinds]), at + 1
+    starts = ends[:-1][np.diff(ends) > 0]
+
+    def before(values: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros_like(values)
+        out[k:] = values[:-k]
+        for ahead in range(k):  # nothing of the text before
+            first = starts + ahead
+            out[first[first < len(out)]] = 0
+        return out
+
+    pair, last = _distinct(np.concatenate([[0], before(at, 1) * len(kinds) + at]), len(kinds) ** 2)
+    last = last[1:]  # pair 0: two places before the text
+    gram, of = _distinct(before(last, 2) * len(pair) + last, len(pair) ** 2)
+    packed = kinds[pair // len(kinds)] << _BITS | kinds[pair % len(kinds)]
+    return packed[gram // len(pair)], packed[gram % len(pair)], of
+
+
+def _by_model(texts: pa.Array, models: pa.Array):
+    """Per model of a slice: its name, its rows, n-grams and characters."""
+    names = np.array(models.to_pylist(), object)
+    for name in sorted(set(names.tolist())):
+        rows = np.flatnonzero(names == name)
+        points, ends = _points(texts.take(pa.array(rows)))
+        if len(points):
+            yield name, rows, points, ends, *wide_grams(points, ends)
+
+
+def gram_rows(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(*keys, model, a, b, n): the n-grams of each slice of a task with the same keys, with their numbers."""
+    small_batches(docs.sparkSession)
+    names = [*keys, "model", "a", "b", "n"]
 
     def run(batches):
-        tables: dict[str, np.ndarray] = {}
         for batch in batches:
-            for a, b in chunks(batch.column(0), _CHUNK):
-                part = batch.slice(a, b - a)
-                raw, ends = _raw(part.column(0))
-                names = _group(part.column(1), own)
-                found = grams(raw, ends)
-                for name in set(names.tolist()):
-                    if name not in tables:
-                        tables[name] = np.zeros(_SIZE, np.int64)
-                    np.add.at(tables[name], found[np.repeat(names == name, np.diff(ends))], 1)
-        for name, table in tables.items():
-            keys = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(table[keys])], names=["model", "gram", "n"])
-        tables.clear()
+            col = {n: batch.column(batch.schema.get_field_index(n)) for n in [text_col, "_model", *keys]}
+            for x, y in chunks(col[text_col], _CHUNK):
+                part = {n: c.slice(x, y - x) for n, c in col.items()}
+                for value in pc.unique(part[keys[0]]) if keys else [None]:
+                    mine = {n: c.filter(pc.equal(part[keys[0]], value)) for n, c in part.items()} if keys else part
+                    for name, _, _, _, a, b, of in _by_model(mine[text_col], mine["_model"]):
+                        fixed = [pa.array([value.as_py()] * len(a), pa.int64())] if keys else []
+                        yield pa.RecordBatch.from_arrays([*fixed, pa.array([name] * len(a), pa.string()), *map(pa.array, (a, b, np.bincount(of, minlength=len(a))))], names=names)
         give_back()
 
-    small_batches(docs.sparkSession)
-    counted = docs.select("text", "lang").mapInArrow(run, "model string, gram bigint, n bigint")
-    return counted.groupBy("model", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, ", ".join([*(f"{k} bigint" for k in keys), "model string, a bigint, b bigint, n bigint"]))
 
 
-def fit_models(docs: DataFrame, own: set[str]) -> dict[str, KneserNey]:
-    """At most MODELS + 1 tables of at most CLASSES ** ORDER counts come to the driver."""
-    table = count_grams(docs, own).toArrow()
-    out = {}
-    for name in pc.unique(table["model"]).to_pylist():
-        mine = table.filter(pc.equal(table["model"], name)).sort_by("gram")
-        out[name] = KneserNey.fit(mine["gram"].to_numpy(), mine["n"].to_numpy())
-    return out
+def price(counted: DataFrame) -> DataFrame:
+    """(model, a, b, bits): -log2 of the probability of each counted n-gram's last character after the others.
 
-
-def measure(docs: DataFrame, models: dict[str, KneserNey], own: set[str]) -> DataFrame:
+    Shorter orders count distinct left neighbours.  An order's own share and what its contexts leave to the shorter
+    order are columns of its table; each table takes the shorter order's probability by a join.
+    """
+    second, third, fourth = F.col("a").bitwiseAND(_LOW), F.shiftright("b", _BITS), F.col("b").bitwiseAND(_LOW)
+    longest = counted.select("model", "a", "b", "n", second.alias("c2"), third.alias("c3"))
+    three = longest.groupBy("model", "c2", "b").agg(F.count("*").alias("n")).withColumn("c3", third)
+    two = three.groupBy("model", "b").agg(F.count("*").alias("n")).withColumn("c3", third).withColumn("c4", fourth)
+    one = two.groupBy("model", "c4").agg(F.count("*").alias("n"))
+
+    def shares(table: DataFrame, context: list[str]) -> DataFrame:
+        seen = [F.greatest(F.count_if(F.col("n") == k), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+        cut = table.groupBy("model").agg(*seen).withColumn("y", F.expr("n1 / (n1 + 2 * n2)"))
+        cut = cut.selectExpr(
+            "model", "greatest(0D, least(0.95D, 1 - 2 * y * n2 / n1)) AS d1", "greatest(0D, least(1.9D, 2 - 3 * y * n3 / n2)) AS d2",
+            "greatest(0D, least(2.85D, 3 - 4 * y * n4 / n3)) AS d3",
+        )
+        cut_each = table.join(cut, "model").withColumn("d", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
+        sums = cut_each.groupBy("model", *context).agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
+        both = cut_each.join(sums, ["model", *context])
+        return both.withColumn("own", F.expr("(n - d) / total")).withColumn("left", F.expr("greatest(cut / total, 1e-9D)")).drop("d", "d1", "d2", "d3", "total", "cut", "n")
+
+    kinds = one.groupBy("model").agg(F.count("*").alias("kinds"))
+    p = shares(one, []).join(kinds, "model").selectExpr("model", "c4", "own + left / kinds AS p")
+    for table, context, key in ((two, ["c3"], ["c4"]), (three, ["c2", "c3"], ["b"]), (longest, ["a", "c3"], ["c2", "b"])):
+        mine = shares(table, context).join(p, ["model", *key])
+        names = [n for n in ("a", "c2", "b") if n in table.columns]
+        p = mine.select("model", *names, F.expr("own + left * p").alias("p"))
+    return p.select("model", "a", "b", (-F.log2("p")).alias("bits"))
+
+
+def measure(docs: DataFrame, own: set[str], scratch: Scratch) -> DataFrame:
     """Append the base counts, `model`, `bits` per symbol, `per_letter` and `middle` (null without text) and `base_failed`."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def make():
-        known = sent.value
-        priced = {name: np.full(_SIZE, np.nan, np.float32) for name in known}
-
-        def work(texts: pa.Array, batch: pa.RecordBatch) -> list[pa.Array]:
-            n, chars, symbols, lines, repeated = base_counts(texts)
-            raw, ends = _raw(texts)
-            names = _group(batch.column(batch.schema.get_field_index("lang")), own)
-            found = grams(raw, ends)
-            each = np.zeros(len(found), np.float32)
-            for name in set(names.tolist()):
-                if name not in known:
-                    continue
-                mine = np.repeat(names == name, np.diff(ends))
-                keys = found[mine]
-                table = priced[name]
-                new = keys[np.isnan(table[keys])]
-                if len(new):
-                    new = np.unique(new)
-                    table[new] = known[name].bits(new)
-                each[mine] = table[keys]
-            size, letter = np.diff(ends), _LETTER[raw]
-            total = _per_text(each.astype(np.float64), ends)
-            per_letter = total / np.maximum(_per_text(letter.astype(np.int64), ends), 1)
-            failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
-            return [*map(pa.array, (n, chars, symbols, lines, repeated)), pa.array(failed), pa.array(names.tolist(), pa.string()), *(pa.array(x, mask=size == 0) for x in (total / np.maximum(size, 1), per_letter, middle_piece(each, letter, ends))), pa.array(size)]
-
-        return work
-
+    spark = docs.sparkSession
     fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, model string, bits double, per_letter double, middle double, symbols bigint"
-    return add_columns(docs, "text", make, fields, _CHUNK)
+    new = T._parse_datatype_string(fields)
+    kept = [f for f in docs.schema.fields if f.name not in new.names]
+    names = [f.name for f in kept]
+    text = F.col("text")
+    docs = docs.withColumn("_model", F.when(F.col("lang").isin(sorted(own)), F.col("lang")).otherwise(F.lit(SHARED)))
+    counted = gram_rows(docs.select("text", "_model"), []).groupBy("model", "a", "b").agg(F.sum("n").alias("n"))
+    priced = scratch.put(price(scratch.put(counted, "grams")), "priced")
+
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(-(-size // PART), 2 * spark.sparkContext.defaultParallelism)
+    dealt = docs.select(*names, "_model", F.pmod(F.xxhash64(*names), F.lit(parts)).alias("_part")).repartition("_part")
+    asked = gram_rows(dealt, ["_part"]).select("_part", "model", "a", "b").distinct()
+    answers = asked.join(priced, ["model", "a", "b"])
+
+    def work(texts: pa.Array, models: pa.Array, known: dict[str, SortedHashes]) -> list[pa.Array]:
+        n, chars, symbols, lines, repeated = base_counts(texts)
+        out = np.zeros((3, len(texts)))
+        size = np.zeros(len(texts), np.int64)
+        for name, rows, points, ends, a, b, of in _by_model(texts, models):
+            each, letter = known[name].get(_key(a, b), np.nan)[of], _letters(points)
+            total = _per_text(each, ends)
+            size[rows] = np.diff(ends)
+            out[:, rows] = total / np.maximum(size[rows], 1), total / np.maximum(_per_text(letter.astype(np.int64), ends), 1), middle_piece(each, letter, ends)
+        failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+        return [*map(pa.array, (n, chars, symbols, lines, repeated)), pa.array(failed), models.cast(pa.string()), *(pa.array(x, mask=size == 0) for x in out), pa.array(size)]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = {}
+        for name in pc.unique(right["model"]).to_pylist():
+            mine = right.filter(pc.equal(right["model"], name))
+            known[name] = SortedHashes(_key(mine["a"].to_numpy(), mine["b"].to_numpy()), mine["bits"].to_numpy())
+        made = []
+        for batch in left.to_batches():
+            col = {n: batch.column(batch.schema.get_field_index(n)) for n in [*names, "_model"]}
+            for x, y in chunks(col["text"], _CHUNK):
+                part = {n: c.slice(x, y - x) for n, c in col.items()}
+                made.append(pa.RecordBatch.from_arrays([*(part[n] for n in names), *work(part["text"], part["_model"], known)], names=names + new.names))
+        give_back()
+        return pa.Table.from_batches(made)
+
+    return dealt.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(run, T.StructType(kept + list(new.fields)))
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits for the 84 of an n-gram."""
+    mixed = a.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed ^ mixed >> np.uint64(29)) + b.astype(np.uint64)
 
 
 def bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
@@ -337,8 +427,8 @@ def judge(docs: DataFrame, scratch: Scratch | None = None, columns: list[str] |
 
     With `scratch` and `columns` the measured rows are kept as a table, so that each text is measured once.
     """
-    own = own_models(docs)
-    measured = measure(docs, fit_models(docs, own), own)
+    tables = scratch or Scratch(docs.sparkSession)
+    measured = measure(docs, own_models(docs), tables)
     if columns is not None:
         measured = measured.drop(*[c for c in docs.columns if c not in columns])
     if scratch is not None:

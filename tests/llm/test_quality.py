@@ -1,6 +1,11 @@
 """Perplexity bands and the distributed language model."""
 
 import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strandlog.llm import quality
 
@@ -20,3 +25,22 @@ def test_bands_follow_the_spread(make):
     texts += [" ".join(prose(r) + prose(r, foreign, 100) + prose(r)), " ".join(prose(r, foreign))]
     kept = {x.doc_id: x.kept for x in quality.judge(make(texts)).collect()}
     assert all(kept[i] for i in range(200)) and [kept[i] for i in range(200, 204)] == [False, False, True, False]
+
+
+def test_distributed_model_equals_the_one_in_memory(spark, make, scratch):
+    """Marks and letters outside ASCII keep their identity, and the prices are a modified Kneser-Ney model's."""
+    r = random.Random(5)
+    texts = [" ".join(prose(r, ["да", "не", "ба", "#", "$"], 40)) for _ in range(30)]
+    docs = make(texts).withColumn("_model", F.lit("en"))
+    counted = quality.gram_rows(docs.select("text", "_model"), []).groupBy("model", "a", "b").agg(F.sum("n").alias("n"))
+    rows = {(x.a, x.b): x for x in counted.join(quality.price(counted), ["model", "a", "b"]).collect()}
+    plain = Counter(tuple(("\0" * 3 + t)[i : i + 4]) for t in texts for i in range(len(t)))
+    point = {c: ord(c) + 1 if c != "\0" else 0 for c in set("\0" + "".join(texts))}
+    pack = lambda g: (point[g[0]] << 21 | point[g[1]], point[g[2]] << 21 | point[g[3]])
+    assert {k: x.n for k, x in rows.items()} == {pack(g): n for g, n in plain.items()}
+    number = {c: i for i, c in enumerate(sorted(point))}
+    keys = sorted((sum(number[c] * 40 ** (3 - i) for i, c in enumerate(g)), pack(g), n) for g, n in plain.items())
+    model = quality.KneserNey.fit(np.array([k for k, _, _ in keys]), np.array([n for _, _, n in keys]))
+    # the folded model spreads what is left at the end over 40 classes, the other over those seen
+    model.left[0].values[:] *= 40 / (len(point) - 1)
+    assert [rows[p].bits for _, p, _ in keys] == pytest.approx(model.bits(np.array([k for k, _, _ in keys])).tolist(), abs=1e-6)

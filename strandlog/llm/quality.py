@@ -3,8 +3,8 @@
 The language model is an interpolated modified Kneser-Ney model over n-grams of `ORDER` characters as they are.  Spark
 counts the n-grams of every document, and counts, contexts and probabilities stay distributed tables that grow with
 the corpus; nothing of their size comes to the driver or to every task.  Texts are dealt into parts of about `PART`
-bytes; each part asks for its distinct n-grams, a join answers, and the answers meet the part's texts again.  The
-`MODELS` languages with most documents get a model of their own, all others (and null) share one.
+bytes; each part asks for its distinct n-grams, a join answers, and the answers meet the part's texts again.  Every
+language has a model and bands of its own; documents of no language share one.
 
 The bands are drawn on bits per letter (or digit): marks between the words cost bits and give no letters.  Per
 language the distribution over all documents that pass the counts gives the band, from `BELOW` robust standard
@@ -13,8 +13,7 @@ for the whole text; the upper one for the middle one of its pieces of `PIECE` sy
 another language that fills less than half of a text doesn't count.  A document outside is rejected: far below it
 repeats itself, far above it is full of marks or isn't written in its language.
 
-Cases: a null text has no words; an empty text fails (fewer than 50 words); documents of a language without any
-other document are judged by the shared model; no document is dropped here, `kept` says what to do.
+Cases: a null text has no words; an empty text fails (fewer than 50 words); a language with one document has a model of that document; no document is dropped here, `kept` says what to do.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ from strandlog.llm.common import Scratch, chunks, give_back, small_batches
 
 ORDER = 4
 CLASSES = 40
-MODELS = 8
-SHARED = "\u0000other"
+#: Model of the documents without a language.
+SHARED = "\u0000none"
 #: Robust standard deviations on either side of the median.
 BELOW = ABOVE = 5.0
 #: Symbols in a piece of a text, of which the middle one is held against the upper end.
@@ -236,12 +235,6 @@ class KneserNey:
         return -np.log2(p)
 
 
-def own_models(docs: DataFrame, models: int = MODELS) -> set[str]:
-    """The languages with most documents."""
-    counts = docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(models)
-    return {r.lang for r in counts.collect()}
-
-
 def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' characters as numbers, and offsets."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -350,7 +343,7 @@ def price(counted: DataFrame) -> DataFrame:
     return p.select("model", "a", "b", (-F.log2("p")).alias("bits"))
 
 
-def measure(docs: DataFrame, own: set[str], scratch: Scratch) -> DataFrame:
+def measure(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Append the base counts, `model`, `bits` per symbol, `per_letter` and `middle` (null without text) and `base_failed`."""
     spark = docs.sparkSession
     fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, model string, bits double, per_letter double, middle double, symbols bigint"
@@ -358,7 +351,7 @@ def measure(docs: DataFrame, own: set[str], scratch: Scratch) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in new.names]
     names = [f.name for f in kept]
     text = F.col("text")
-    docs = docs.withColumn("_model", F.when(F.col("lang").isin(sorted(own)), F.col("lang")).otherwise(F.lit(SHARED)))
+    docs = docs.withColumn("_model", F.coalesce("lang", F.lit(SHARED)))
     counted = gram_rows(docs.select("text", "_model"), []).groupBy("model", "a", "b").agg(F.sum("n").alias("n"))
     priced = scratch.put(price(scratch.put(counted, "grams")), "priced")
 
@@ -427,17 +420,17 @@ def judge(docs: DataFrame, scratch: Scratch | None = None, columns: list[str] |
 
     With `scratch` and `columns` the measured rows are kept as a table, so that each text is measured once.
     """
-    tables = scratch or Scratch(docs.sparkSession)
-    measured = measure(docs, own_models(docs), tables)
+    measured = measure(docs, scratch or Scratch(docs.sparkSession))
     if columns is not None:
         measured = measured.drop(*[c for c in docs.columns if c not in columns])
     if scratch is not None:
         measured = scratch.put(measured, "quality")
     found = bands(measured)
-    inside, slack = F.lit(False), SHORT / F.sqrt(F.greatest("symbols", F.lit(1)))
-    for name, (low, high) in sorted(found.items()):
-        inside = inside | ((F.col("model") == name) & (F.col("per_letter") >= low - slack) & (F.col("middle") <= high + slack))
-    return measured.withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("model", "bits", "per_letter", "middle", "symbols")
+    slack = SHORT / F.sqrt(F.greatest("symbols", F.lit(1)))
+    ends = docs.sparkSession.createDataFrame([(name, low, high) for name, (low, high) in sorted(found.items())], "model string, _low double, _high double")
+    measured = measured.join(F.broadcast(ends), "model", "left")
+    inside = (F.col("per_letter") >= F.col("_low") - slack) & (F.col("middle") <= F.col("_high") + slack)
+    return measured.withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("model", "bits", "per_letter", "middle", "symbols", "_low", "_high")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -44,3 +44,13 @@ def test_distributed_model_equals_the_one_in_memory(spark, make, scratch):
     # the folded model spreads what is left at the end over 40 classes, the other over those seen
     model.left[0].values[:] *= 40 / (len(point) - 1)
     assert [rows[p].bits for _, p, _ in keys] == pytest.approx(model.bits(np.array([k for k, _, _ in keys])).tolist(), abs=1e-6)
+
+
+def test_every_language_has_its_own_bands(spark):
+    """A small tenth language is not judged by what a ninth and larger one writes."""
+    r = random.Random(6)
+    noise = lambda: prose(r, "abcdefghijklmnopqrstuvwxyz", 300)
+    rows = [(lang, " ".join(prose(r, n=60))) for lang in "abcdefgh" for _ in range(31)] + [("i", " ".join(prose(r))) for _ in range(30)]
+    rows += [("j", " ".join(noise())) for _ in range(5)]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    assert [x.lang for x in quality.judge(docs).where("NOT kept").collect() if x.lang in "ij"] == []

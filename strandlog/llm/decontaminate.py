@@ -69,10 +69,8 @@ class Benchmark:
         self.windows = windows.groupBy("len", "window").agg(F.collect_set("item_id").alias("items"))
         part = F.floor((size + 1) / 2).cast("int")
         blocks = base.select("w", part.alias("m"), F.explode(_starts(F.col("n") - part + 1)).alias("i"))
-        # the wider lower-casing of both sides only lets more documents through
-        self.blocks = blocks.select(
-            "m", F.xxhash64(F.transform(F.slice("w", F.col("i") + 1, F.col("m")), F.lower)).alias("h")
-        ).distinct()
+        # words of both sides in the windows' own form, so that no window is lost
+        self.blocks = blocks.select("m", F.xxhash64(F.slice("w", F.col("i") + 1, F.col("m"))).alias("h")).distinct()
         # a window has 13 words at most, so these are few
         self.lengths = sorted(r.len for r in self.windows.select("len").distinct().collect())
         n_windows, n_blocks = self.windows.count(), self.blocks.count()
@@ -97,7 +95,7 @@ def _in_set(name: str, numbers: list[int]) -> str:
 
 def _hits_by_set(docs: DataFrame, bench: Benchmark, text_col: str) -> DataFrame:
     """One row per document and verified window, one at least per document."""
-    docs = docs.withColumn("_loose", word_list(F.lower(text_col))).withColumn("_n", F.size("_loose"))
+    docs = docs.withColumn("_loose", word_list(ascii_lower(F.col(text_col)))).withColumn("_n", F.size("_loose"))
     tests = [
         _once("_loose", "w", f"exists(transform(CASE WHEN size(w) >= {m} THEN sequence(0, size(w) DIV {m} - 1) ELSE array() END, "
         f"i -> xxhash64(slice(w, CAST(i AS INT) * {m} + 1, {m}))), h -> {_in_set('h', found)})")

@@ -197,6 +197,13 @@ def trav_link_filter(spark, d):
     return _leaves(g.traverse(starts, [Hop("placed-by", link_filter=Gt("total", 1000.0), backwards=True)])).distinct()
 
 
+@query("trav_link_filter_all", "SELECT DISTINCT 'orders' AS tbl, o_orderkey::VARCHAR AS key FROM orders WHERE o_totalprice > 1000")
+def trav_link_filter_all(spark, d):
+    g = D.commerce_graph(spark, d)
+    starts = g.tables["customer"].select(F.lit("customer").alias("tbl"), "key")
+    return _leaves(g.traverse(starts, [Hop("placed-by", link_filter=Gt("total", 1000.0), backwards=True)])).distinct()
+
+
 @query("trav_node_filter", "SELECT DISTINCT 'part' AS tbl, p_partkey::VARCHAR AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 50 AND p_size < 10")
 def trav_node_filter(spark, d):
     g = D.commerce_graph(spark, d)
@@ -204,6 +211,13 @@ def trav_node_filter(spark, d):
     return _leaves(g.traverse(starts, [Hop("contains", node_filter=Lt("size", 10))])).distinct()
 
 
+@query("trav_node_filter_all", "SELECT DISTINCT 'part' AS tbl, p_partkey::VARCHAR AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10")
+def trav_node_filter_all(spark, d):
+    g = D.commerce_graph(spark, d)
+    starts = g.tables["orders"].select(F.lit("orders").alias("tbl"), "key")
+    return _leaves(g.traverse(starts, [Hop("contains", node_filter=Lt("size", 10))])).distinct()
+
+
 @query("trav_paths", """SELECT start_key, min('orders/' || start_key || ' part/' || l_partkey || ' supplier/' || l_suppkey) AS path, l_suppkey::VARCHAR AS key FROM
   (SELECT a.l_orderkey::VARCHAR AS start_key, b.l_partkey, b.l_suppkey FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey < 10) GROUP BY 1, 3""")
 def trav_paths(spark, d):
@@ -215,6 +229,17 @@ def trav_paths(spark, d):
     return found.select("start_key", shown.alias("path"), "key")
 
 
+@query("trav_paths_all", """SELECT start_key, min('orders/' || start_key || ' part/' || l_partkey || ' supplier/' || l_suppkey) AS path, l_suppkey::VARCHAR AS key FROM
+  (SELECT a.l_orderkey::VARCHAR AS start_key, b.l_partkey, b.l_suppkey FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey) GROUP BY 1, 3""")
+def trav_paths_all(spark, d):
+    """One path per leaf and start: the least."""
+    g = D.commerce_graph(spark, d)
+    starts = g.tables["orders"].select(F.lit("orders").alias("tbl"), "key")
+    found = g.traverse(starts, ["contains", "supplied-by"], with_paths=True)
+    shown = F.array_join(F.transform("path", lambda n: F.concat_ws("/", n.tbl, n.key)), " ")
+    return found.select("start_key", shown.alias("path"), "key")
+
+
 @query("trav_bidi", """SELECT 'supplier' AS tbl, b.s_suppkey::VARCHAR AS key FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey = 1""")
 def trav_bidi(spark, d):
     """A link that goes both ways: supplier to nation and on to its other suppliers; the start was visited."""
@@ -283,6 +308,15 @@ def shortest_path(spark, d):
     return g.shortest_path(starts, "region", "1", 3).select("start_key", "hops")
 
 
+@query("shortest_path_all", "SELECT o_orderkey::VARCHAR AS start_key, 3 AS hops FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def shortest_path_all(spark, d):
+    """Hops from orders without lines to a region."""
+    g = D.commerce_graph(spark, d)
+    lined = g.links["contains"].entries.select(F.col("src").alias("key"))
+    starts = g.tables["orders"].join(lined, "key", "left_anti").select(F.lit("orders").alias("tbl"), "key")
+    return g.shortest_path(starts, "region", "1", 3).select("start_key", "hops")
+
+
 # ---- deletion
 
 _CLOSURE = """RECURSIVE l AS (SELECT 'customer/' || c_custkey AS a, 'nation/' || c_nationkey AS b FROM customer UNION ALL SELECT 'orders/' || o_orderkey, 'customer/' || o_custkey FROM orders),
@@ -330,6 +364,14 @@ def node_history(spark, d):
     return L.history(log, ["key"]).select("key", F.col("index").alias("i"), "status")
 
 
+@query("node_history_all", "SELECT user_id::VARCHAR AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_type AS status FROM events")
+def node_history_all(spark, d):
+    """Nodes are users, their status is the kind of their last event; every revision keeps its own id."""
+    e = D.table(spark, d, "events")
+    log = e.select(F.col("user_id").cast("string").alias("key"), L.revision(F.lit(0), F.col("event_id")).alias("rev"), F.col("event_type").alias("status"))
+    return L.history(log, ["key"]).select("key", F.col("index").alias("i"), "status")
+
+
 @query("node_at_revision", "SELECT key, status FROM (SELECT user_id::VARCHAR AS key, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) WHERE i = 3")
 def node_at_revision(spark, d):
     e = D.table(spark, d, "events")

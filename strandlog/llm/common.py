@@ -35,21 +35,69 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors.
+
+    Results are lazy and may read them at any later time, so what an operator doesn't drop itself goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+        atexit.register(self._clear)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def _delete(self, where: str) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _clear(self) -> None:
+        try:
+            self._delete(self.root)
+        except Exception:  # noqa: BLE001  the session has ended before; its owner clears the folder
+            pass
+
+
+#: Keys that hold more than one in so many rows are sent to all tasks; there are fewer of them than this.
+HOT_SHARE = 1000
+#: Rows of a table by key that may be sent to all tasks; beyond it such a table is joined by a shuffle.
+SMALL_ROWS = 10_000
+
+
+def hot_join(rows: DataFrame, by_key: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """`rows` joined with `by_key`, which has one row per key and, as `count`, its number of rows.
+
+    A key with more than a thousandth of all rows would make one task late.  Fewer than a thousand keys
+    can be like that, so their rows of `by_key` go to all tasks and only the other keys are shuffled.  `rows` is read three times.
+    """
+    least = max(rows.count() // HOT_SHARE, 1)
+    hot, rest = by_key.where(F.col(count) > least), by_key.where(F.col(count) <= least)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def small_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with a table that is sent to all tasks if it was counted and has few rows."""
+    few = table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return rows.join(F.broadcast(table) if few else table, keys, how)
+
+
+def drawn(share: float, *cols: Column) -> Column:
+    """True for about this share of rows, by a hash of 63 bits: a share of 1e-12 still draws what it should."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1)) <= F.lit(draw_limit(share))
+
+
+def draw_limit(share: float) -> int:
+    """The greatest 63-bit hash that a share of rows reaches; -1 for none."""
+    return min((1 << 63) - 1, int(share * (1 << 63)) - (share <= 0))
 
 
 def held_out(doc_id: Column) -> Column:

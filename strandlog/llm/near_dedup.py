@@ -6,19 +6,21 @@ value of the earliest round that reached it; after as many rounds as there are c
 coordinate with the least over all elements.  So every coordinate is filled, agreement estimates similarity as
 sharply as independent hashing does, and a set of n elements costs about n + t log t steps, not n * t.
 
-1. Equal sets form one class, whatever their number; only classes go on.
+1. Equal sets form one class, whatever their number; only classes go on.  Classes are numbered; a class is known by
+   its set alone, so ids may be of any size or sign, missing, or repeated with other texts.
 2. Bands of `ROWS` coordinates put classes into buckets.  In each bucket every class is compared with the least
    class only; a link is confirmed on the full sets (100 * intersection >= percent * union).
 3. Components of these links.  Buckets that still hold several components are searched exactly: two sets that are similar
    enough share an element among their rarest ones (prefix filter), so classes of different components meet by
-   those, and what meets is confirmed on the full sets.
+   those, and what meets is confirmed on the full sets.  An element that a crowd has among its rarest isn't
+   enough: sets that share it must share a second one among their rarest and one more, and meet by both.
 4. Components of all links.  Each document gets the least id of its component.
 
 Two sets at the threshold of 0.8 share no band with probability below 1e-5.
 
 Cases: null texts and texts without words have no set and are linked with nothing; fewer words than a
-shingle form one shingle; rows that share an id are one document as far as links go; documents with a null id belong to
-components but never give the component's id (null if no member has an id) and aren't kept unless they stand alone.
+shingle form one shingle; rows that repeat an id are judged by their own texts; documents with a null id belong to
+components but give the component's id only if no member has one (then it is null), and are kept just then.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import Scratch, add_columns
+from strandlog.llm.common import Scratch, add_columns, hot_join, text_key
 from strandlog.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -39,8 +41,8 @@ BANDS, ROWS = 50, 7
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Ids of classes without a document id start here.
-_NAMELESS = 1 << 62
+#: An element that so many sets have in their prefixes is only met together with a second one.
+CROWD = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -157,8 +159,8 @@ def sketch(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS, rows
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, n, elements) for the given classes (node, set_a, set_b), from the texts of their least documents."""
-    ids = nodes.select(F.col("node").alias("doc_id"))
+    """(node, n, elements) for the given classes (node, set_a, set_b, least), from the texts of their least ids."""
+    ids = nodes.where("least IS NOT NULL").select(F.col("least").alias("doc_id")).distinct()
     texts = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
     def make():
@@ -169,7 +171,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         return work
 
     made = add_columns(texts.select("text"), "text", make, "set_a bigint, set_b bigint, elements array<bigint>").drop("text")
-    return made.join(nodes, ["set_a", "set_b"]).dropDuplicates(["node"]).select("node", F.size("elements").alias("n"), "elements")
+    met = made.join(nodes.select("node", "set_a", "set_b"), ["set_a", "set_b"])
+    return met.dropDuplicates(["node"]).select("node", F.size("elements").alias("n"), "elements")  # one class, one set
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,6 +184,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select("a", "b")
 
 
+def _meeting_keys(prefix: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(x, y, node, label, n, rest): what classes meet by, an element of their prefix or, in a crowd, two.
+
+    `prefix` holds each class's prefix and the element after it (`extra`).  Two similar sets share an element of both
+    prefixes and, if each prefix takes in one element more, two of those; so a crowd's element needs a second, but
+    for sets so small that one shared element is enough.
+    """
+    crowds = prefix.where("NOT extra").groupBy("x").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")
+    crowds = scratch.put(crowds, "rest_crowds")
+    met = scratch.put(hot_join(prefix.where("NOT extra"), crowds, ["x"], "c"), "rest_met")
+    alone = met.where((F.col("c") <= CROWD) | (F.col("n") * percent <= 100)).select("x", F.lit(None).cast("bigint").alias("y"), "node", "label", "n", "rest")
+    many = met.where(F.col("c") > CROWD)
+    second = prefix.select("node", F.col("x").alias("y"))
+    paired = many.join(second, "node").where("x <> y").select("x", "y", "node", "label", "n", "rest")
+    return alone.unionByName(paired)
+
+
 def _rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and an element of their prefixes."""
     labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
@@ -191,39 +211,40 @@ def _rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scrat
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     elements = sets.join(nodes, "node").select("node", "label", "n", F.explode("elements").alias("x"))
     elements = scratch.put(elements, "rest_elements")
-    often = elements.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    often = scratch.put(elements.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"), "rest_often")
     # elements that only one set has can't be shared; they fill the prefix first, so they only shorten it
-    shared = elements.join(often, "x")
+    shared = hot_join(elements, often, ["x"], "df")
     rarest = Window.partitionBy("node").orderBy("df", "x")
     ranked = shared.withColumn("k", F.row_number().over(rarest)).withColumn("common", F.count("*").over(Window.partitionBy("node")))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("common"))
     # elements from this one on, this one included: the most that a pair can share if it is their first common one
     rest = F.col("common") - F.col("k") + 1
-    prefix = scratch.put(ranked.where(F.col("k") <= length).select("x", "node", "label", "n", rest.alias("rest")), "rest_prefix")
-    by_label = prefix.groupBy("x", "label").agg(F.count("*").alias("c"))
-    main = by_label.groupBy("x").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    one = prefix.join(main, "x").where("label <> main").select("x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    two = prefix.select("x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    prefix = ranked.where(F.col("k") <= length + 1).select("x", "node", "label", "n", rest.alias("rest"), (F.col("k") > length).alias("extra"))
+    keys = scratch.put(_meeting_keys(scratch.put(prefix, "rest_prefix"), scratch, percent), "rest_keys")
+    # the label that most classes at a key have meets the others only; sizes that differ too much don't meet at all
+    by_label = keys.groupBy("x", "y", "label").agg(F.count("*").alias("c"))
+    main = by_label.groupBy("x", "y").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c")).where("labels > 1").drop("labels")
+    step = F.floor(F.log("n") / max(float(np.log(100 / percent)), 1e-3) + 1e-9).cast("int")
+    flat = keys.withColumn("y", F.coalesce("y", "x"))  # x never stands for a second element
+    main = scratch.put(main.withColumn("y", F.coalesce("y", "x")), "rest_main")
+    minor = hot_join(flat, main, ["x", "y"], "c").where("label <> main")
+    one = minor.select("x", "y", F.explode(F.array(step - 1, step, step + 1)).alias("step"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    two = flat.select("x", "y", step.alias("step"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return one.join(two, "x").where((F.col("la") != F.col("lb")) & near & enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
+    return one.join(two, ["x", "y", "step"]).where((F.col("la") != F.col("lb")) & near & enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-def find(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
 
-    `docs` is read twice: once for sketches, once for the full sets of what has to be confirmed.
-    """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = scratch.put(sketch(docs, words).drop("text"), "sketches")
+def _classes(rows: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """(set_a, set_b, component, least): each class of equal sets with its component's number and least document id."""
     classes = rows.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    nameless = F.col("set_a").bitwiseAND(F.lit(_NAMELESS - 1)).bitwiseOR(F.lit(_NAMELESS))
-    classes = scratch.put(classes.select("set_a", "set_b", F.coalesce("least", nameless).alias("node"), "bands"), "classes")
+    # numbers are unique whichever attempt of a task wrote them, and are only read from the table
+    classes = scratch.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = classes.select("node", F.explode("bands").alias("bucket"))
     centres = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     entries = scratch.put(entries.join(centres, "bucket"), "entries")  # those of buckets with two classes or more
     pairs = scratch.put(entries.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    wanted = classes.select("node", "set_a", "set_b").join(entries.select("node").distinct(), "node", "left_semi")
+    wanted = classes.select("node", "set_a", "set_b", "least").join(entries.select("node").distinct(), "node", "left_semi")
     sets = scratch.put(_full_sets(docs, wanted, words), "sets")
     links = scratch.put(_confirm(pairs, sets, percent), "links")
     labels = components(links, scratch, "first")
@@ -231,12 +252,39 @@ def find(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORDS, percent:
     more = scratch.put(_confirm(more, sets, percent), "more_links")
     if not more.isEmpty():
         labels = components(links.union(more), scratch, "all")
-    named = classes.select("set_a", "set_b", "node").join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("found"))
-    met = rows.drop("bands").join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("found").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).when(F.col("found") < _NAMELESS, F.col("found"))
-    alone = F.col("doc_id").isNull() & (F.col("n_shingles") == 0)
-    met = met.withColumn("component_id", component)
-    return met.select("doc_id", "n_shingles", "component_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) | alone).alias("kept"))
+    joined = classes.select("set_a", "set_b", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = joined.groupBy("component").agg(F.min("least").alias("least"))
+    found = scratch.put(joined.drop("least", "node").join(least, "component"), "found")
+    scratch.drop("classes", "entries", "pairs", "sets", "links", "more_links", *(f"rest_{k}" for k in ("nodes", "elements", "often", "prefix", "crowds", "met", "keys", "main")))
+    return found
+
+
+def find(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
+
+    `docs` is read twice: once for sketches, once for the full sets of what has to be confirmed.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = scratch.put(sketch(docs, words).drop("text"), "sketches")
+    met = rows.drop("bands").join(_classes(rows, docs, scratch, words, percent), ["set_a", "set_b"], "left")
+    component = F.when(F.col("component").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("least"))
+    return met.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each component: that of the least id, of rows that share it the one whose content has the
+    least hash.  Rows without a set stay, and so do rows without an id, which can't be named."""
+    keys = dict(zip(("_row_a", "_row_b"), text_key(*map(F.col, docs.columns))))
+    keyed = docs.withColumns(keys)
+    narrow = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "_row_a", "_row_b")
+    rows = scratch.put(sketch(narrow, words).drop("text"), "sketches")
+    met = rows.where("n_shingles > 0").drop("bands").join(_classes(rows, narrow.select("doc_id", "text"), scratch, words, percent), ["set_a", "set_b"])
+    order = F.struct("doc_id", "_row_a", "_row_b")
+    stay = met.where("doc_id IS NOT NULL").groupBy("component").agg(F.min(order).alias("first")).select("first._row_a", "first._row_b")
+    empty = rows.where("n_shingles = 0 OR doc_id IS NULL").select("_row_a", "_row_b").distinct().withColumn("whole", F.lit(True))
+    stay = stay.withColumn("whole", F.lit(False)).unionByName(empty)
+    kept = keyed.join(scratch.put(stay, "stay"), ["_row_a", "_row_b"])
+    return kept.where("NOT whole").dropDuplicates(["_row_a", "_row_b"]).unionByName(kept.where("whole")).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ How a document is scanned, without a row per window: 13 words in a row always ho
 that starts at a multiple of 7 (a window of n words one of (n + 1) // 2), so a document's few
 aligned blocks are hashed first and looked up in the hash set of all blocks of that size in the benchmark.
 Documents without such a block hold no window.  The rest get each window's hash looked up, and hits are
-verified by joining the windows' full text.
+verified by joining the windows' full text.  Both sides are lower-cased before they are cut into words, and by the
+same translation of A-Z, so no window is lost and hits are the same on either path:
 
-The set and the window table are sent to all tasks only if they have at most `max_broadcast` entries.
-Beyond that both sides meet in a shuffle by two 64-bit hashes of the window; a window that very many
-documents share is split by adaptive execution.
+* The block and window hashes become sets in the scan's own expression, and the window table goes to all tasks, only if
+  they were counted and have at most `max_broadcast` entries and `MAX_BYTES` bytes, item ids included.
+* Beyond that, documents meet the blocks in a shuffle, one row per seven words; the windows of those that met one
+  are looked up in a second shuffle, and the texts of the windows whose hashes met in a third.
 
 Cases: a null text has no words; null item texts have no windows; items that repeat an id count once;
 a null item id marks words as hit but isn't an item; rows that repeat are judged one by one; an empty benchmark
@@ -29,6 +31,8 @@ WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 #: Entries of the broadcast hash set and window table.
 MAX_BROADCAST = 40_000
+#: Bytes of the window table, item ids included, that go to all tasks.
+MAX_BYTES = 32 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -59,22 +63,23 @@ class Benchmark:
     """Windows and blocks of the items, counted before anything is broadcast."""
 
     def __init__(self, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> None:
-        spark = items.sparkSession
         base = items.select(F.col("item_id").cast("string").alias("item_id"), word_list(ascii_lower(F.col("text"))).alias("w"))
         base = base.withColumn("n", F.size("w")).where("n > 0")
         size = F.least(F.col("n"), F.lit(WINDOW))
         windows = base.select(
             "item_id", "w", size.alias("len"), F.explode(_starts(F.col("n") - size + 1)).alias("i")
         ).select("item_id", "len", F.array_join(F.slice("w", F.col("i") + 1, F.col("len")), " ").alias("window"))
-        self.windows = windows.groupBy("len", "window").agg(F.collect_set("item_id").alias("items"))
+        windows = windows.groupBy("len", "window").agg(F.collect_set("item_id").alias("items"))
+        self.windows = windows
         part = F.floor((size + 1) / 2).cast("int")
         blocks = base.select("w", part.alias("m"), F.explode(_starts(F.col("n") - part + 1)).alias("i"))
         # words of both sides in the windows' own form, so that no window is lost
         self.blocks = blocks.select("m", F.xxhash64(F.slice("w", F.col("i") + 1, F.col("m"))).alias("h")).distinct()
         # a window has 13 words at most, so these are few
         self.lengths = sorted(r.len for r in self.windows.select("len").distinct().collect())
-        n_windows, n_blocks = self.windows.count(), self.blocks.count()
-        self.small = max(n_windows, n_blocks) <= max_broadcast
+        held = F.octet_length("window") + F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+        n_windows, n_bytes = self.windows.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+        self.small = max(n_windows, self.blocks.count()) <= max_broadcast and n_bytes <= MAX_BYTES
         if self.small:
             self.block_set = {m: [] for m in map(_block_size, self.lengths)}
             for r in self.blocks.collect():  # at most max_broadcast numbers
@@ -82,7 +87,6 @@ class Benchmark:
             self.window_set = {n: [] for n in self.lengths}
             for r in self.windows.select("len", self.hash_of(F.split("window", " ")).alias("h")).collect():
                 self.window_set[r.len].append(r.h)
-        self.spark = spark
 
     @staticmethod
     def hash_of(words: Column) -> Column:
@@ -118,17 +122,26 @@ def _hits_by_set(docs: DataFrame, bench: Benchmark, text_col: str) -> DataFrame:
 
 
 def _hits_by_join(docs: DataFrame, bench: Benchmark, text_col: str) -> DataFrame:
-    """As `_hits_by_set`, for a benchmark of any size: window hashes meet in a shuffle."""
+    """As `_hits_by_set`, for a benchmark of any size: blocks, then windows, meet in a shuffle."""
     docs = docs.withColumn("_w", word_list(ascii_lower(F.col(text_col)))).withColumn("_n", F.size("_w"))
-    sizes = [
-        f"transform(CASE WHEN size(w) >= {n} THEN sequence(0, size(w) - {n}) ELSE array() END, i -> named_struct('pos', CAST(i AS INT), 'len', {n}, "
-        f"'h1', xxhash64(slice(w, CAST(i AS INT) + 1, {n})), 'h2', xxhash64({n}, slice(w, CAST(i AS INT) + 1, {n}))))"
+    sizes = sorted(set(map(_block_size, bench.lengths)))
+    aligned = [
+        f"transform(CASE WHEN size(w) >= {m} THEN sequence(0, size(w) DIV {m} - 1) ELSE array() END, "
+        f"i -> named_struct('m', {m}, 'h', xxhash64(slice(w, CAST(i AS INT) * {m} + 1, {m}))))"
+        for m in sizes
+    ]
+    blocks = docs.select("_row", F.inline(F.array_distinct(F.expr(_once("_w", "w", f"concat({', '.join(aligned)})")))))
+    near = docs.join(blocks.join(bench.blocks, ["m", "h"], "left_semi").select("_row").distinct(), "_row", "left_semi")
+    windows = [
+        f"transform(CASE WHEN size(w) >= {n} THEN sequence(0, size(w) - {n}) ELSE array() END, "
+        f"i -> named_struct('pos', CAST(i AS INT), 'len', {n}, 'h', xxhash64(slice(w, CAST(i AS INT) + 1, {n}))))"
         for n in bench.lengths
     ]
-    rows = docs.select("_row", F.inline(F.expr(_once("_w", "w", f"concat({', '.join(sizes)})"))))
-    words = F.split("window", " ")
-    known = bench.windows.select("len", F.xxhash64(words).alias("h1"), F.xxhash64(F.col("len"), words).alias("h2"), "items")
-    found = rows.join(known, ["len", "h1", "h2"]).select("_row", "pos", "len", "items")
+    rows = near.select("_row", F.inline(F.expr(_once("_w", "w", f"concat({', '.join(windows)})"))))
+    known = bench.windows.select("len", Benchmark.hash_of(F.split("window", " ")).alias("h")).distinct()
+    met = rows.join(known, ["len", "h"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("pos", "len")).alias("_met"))
+    texts = F.transform("_met", lambda x: F.struct(x.pos.alias("pos"), x.len.alias("len"), F.array_join(F.slice("_w", x.pos + 1, x.len), " ").alias("window")))
+    found = near.join(met, "_row").select("_row", F.inline(texts)).join(bench.windows, ["len", "window"]).select("_row", "pos", "len", "items")
     narrow = docs.select("_row", "doc_id", F.col("_n").alias("n_words"))
     return narrow.join(found, "_row", "left")
 

@@ -10,7 +10,8 @@ That sum is taken over the distinct windows of ORDER + 1 bytes: each is priced o
 trees (sorted arrays of hashed contexts) and kept in a table of fixed size.
 
 Training takes at most about `SAMPLE_ROWS` rows, in equal shares for the languages, drawn by a hash of the id
-among rows that aren't held out; their texts count whole.  A-Z are folded to lower case.
+among rows that aren't held out; their texts count whole, and at most `WINDOWS` distinct windows, the commonest of each
+language, go into the trees.  A-Z are folded to lower case.
 
 Cases: a text that is null or has no letter is `und` with score 0; without any training row all texts are `und`.
 Ties go to the language that sorts first.  The score is the share of the best language when
@@ -22,13 +23,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import Scratch, add_columns, held_out
+from strandlog.llm.common import Scratch, add_columns, draw_limit, held_out
 
 ORDER = 4
 SAMPLE_ROWS = 3_000
+#: Distinct windows that the trees of all languages hold together.
+WINDOWS = 4_000_000
 #: Slots of the table of priced windows, a power of two.
 SLOTS = 1 << 19
 UNDETERMINED = "und"
@@ -161,11 +164,10 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
     counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
     share = rows / max(1, len(counts))
-    scale = 1 << 24
-    limits = {k: int(min(1.0, share / n) * scale) for k, n in counts.items()}
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(scale))
-    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map(F.lit(""), F.lit(0))
-    return usable.where(draw < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0))).select("lang", "text")
+    limits = {k: draw_limit(share / n) for k, n in counts.items()}
+    draw = F.xxhash64(F.lit("langid"), "doc_id").bitwiseAND(F.lit((1 << 63) - 1))
+    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map(F.lit(""), F.lit(-1).cast("bigint"))
+    return usable.where(draw <= F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(-1).cast("bigint"))).select("lang", "text")
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, ContextTree]:
@@ -188,7 +190,11 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, ContextTree]:
     sample = training_sample(docs, rows)
     counted = sample.mapInArrow(run, "lang string, window bigint, n bigint").groupBy("lang", "window").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession)
-    table = scratch.put(counted, "langid_windows").toArrow()  # distinct windows of at most `rows` texts
+    counted = scratch.put(counted, "langid_windows")
+    # a language's tree holds its commonest windows, so that the trees have a bound whatever the texts' lengths
+    share = WINDOWS // max(1, counted.select("lang").distinct().count())
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "window"))
+    table = counted.withColumn("rank", rank).where(F.col("rank") <= share).drop("rank").toArrow()
     scratch.drop("langid_windows")
     trees = {}
     langs = table["lang"].combine_chunks().dictionary_encode() if table.num_rows else None

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm import boosting
-from strandlog.llm.common import Scratch, add_columns, held_out
+from strandlog.llm.common import Scratch, add_columns, drawn, held_out
 
 #: Labelled rows that are learned from, and entries of the learned lexicon.
 SAMPLE_ROWS = 16_000
@@ -161,8 +161,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(1, known.count()))
-    drawn = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    return docs.select("doc_id", "text").where(drawn).join(F.broadcast(known.where(drawn)), "doc_id")
+    few = drawn(share, F.lit("toxicity"), F.col("doc_id"))
+    return docs.select("doc_id", "text").where(few).join(F.broadcast(known.where(few)), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], boosting.Boosted]:

@@ -252,10 +252,11 @@ def _classes(rows: DataFrame, docs: DataFrame, scratch: Scratch, words: int, per
     more = scratch.put(_confirm(more, sets, percent), "more_links")
     if not more.isEmpty():
         labels = components(links.union(more), scratch, "all")
-    joined = classes.select("set_a", "set_b", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("least").alias("least"))
-    found = scratch.put(joined.drop("least", "node").join(least, "component"), "found")
-    scratch.drop("classes", "entries", "pairs", "sets", "links", "more_links", *(f"rest_{k}" for k in ("nodes", "elements", "often", "prefix", "crowds", "met", "keys", "main")))
+    joined = classes.select("set_a", "set_b", "node", "least").join(labels, "node", "left")
+    joined = scratch.put(joined.withColumn("component", F.coalesce("component", "node")).drop("node"), "joined")
+    least = joined.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("members"))
+    found = scratch.put(hot_join(joined.drop("least"), least, ["component"], "members").drop("members"), "found")
+    scratch.drop("joined", "classes", "entries", "pairs", "sets", "links", "more_links", *(f"rest_{k}" for k in ("nodes", "elements", "often", "prefix", "crowds", "met", "keys", "main")))
     return found
 
 

@@ -2,8 +2,9 @@
 
 The language model is an interpolated modified Kneser-Ney model over n-grams of `ORDER` characters as they are.  Spark
 counts the n-grams of every document, and counts, contexts and probabilities stay distributed tables that grow with
-the corpus; nothing of their size comes to the driver or to every task.  Texts are dealt into parts of about `PART`
-bytes; each part asks for its distinct n-grams, a join answers, and the answers meet the part's texts again.  Every
+the corpus; nothing of their size comes to the driver or to every task.  Texts are packed into parts of about `PART`
+bytes, each a compressed row of a table beside the part's distinct n-grams.  The n-grams of all parts give the
+model; a join answers what each part asks for, and a part meets its answers as sorted hash arrays.  Every
 language has a model and bands of its own; documents of no language share one.
 
 The bands are drawn on bits per letter (or digit): marks between the words cost bits and give no letters.  Per
@@ -23,11 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlog.llm.common import Scratch, chunks, give_back, small_batches
+from strandlog.llm.common import SMALL_ROWS, Scratch, chunks, give_back, small_batches, small_join
 
 ORDER = 4
 CLASSES = 40
@@ -39,10 +41,12 @@ BELOW = ABOVE = 5.0
 PIECE = 256
 #: Bits added on either side, divided by the root of the number of symbols.
 SHORT = 2.0
+#: Bins of the histograms that give the spread, in a bit.
+BINS = 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Bytes of text worked on at once: each byte takes some 50 bytes of arrays.
+#: Bytes of text worked on at once, and characters whose n-grams are: each takes some 50 bytes of arrays.
 _CHUNK = 1 << 20
-#: Bytes of text whose n-grams are asked for together.
+#: Bytes of text whose n-grams are asked for together, one text at least.
 PART = 16 << 20
 #: Bits that hold a character's number plus 1 (0 is before a text) in an n-gram.
 _BITS = 21
@@ -173,8 +177,8 @@ def base_counts(texts: pa.Array) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     raw, ends = _raw(texts)
     n, repeated = repeated_words(texts)
-    chars = _per_text((~_SPACE[raw] & ~_FOLLOWS[raw]).astype(np.int64), ends)
-    symbols = _per_text(_SYMBOL[raw].astype(np.int64), ends)
+    chars = _per_text(~_SPACE[raw] & ~_FOLLOWS[raw], ends)
+    symbols = _per_text(_SYMBOL[raw], ends)
     lines = np.array([repeated_lines(t) for t in texts.to_pylist()], np.int64)
     return [n.astype(np.int64), chars, symbols, lines, repeated]
 
@@ -239,7 +243,7 @@ def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' characters as numbers, and offsets."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
-    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64), ends
+    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.int32), ends
 
 
 def _letters(points: np.ndarray) -> np.ndarray:
@@ -280,42 +284,117 @@ def wide_grams(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return packed[gram // len(pair)], packed[gram % len(pair)], of
 
 
+def sliced_grams(points: np.ndarray, ends: np.ndarray):
+    """`wide_grams` of `_CHUNK` characters at a time, however long a text is: (first, last, a, b, gram of each)."""
+    for lo in range(0, len(points), _CHUNK):
+        hi = min(lo + _CHUNK, len(points))
+        at = max(lo - ORDER + 1, 0)  # the characters before the slice are context only
+        inner = ends[(ends > at) & (ends < hi)] - at
+        a, b, of = wide_grams(points[at:hi].astype(np.int64), np.concatenate([[0], inner, [hi - at]]))
+        if at < lo:
+            used, of = np.unique(of[lo - at :], return_inverse=True)
+            a, b = a[used], b[used]
+        yield lo, hi, a, b, of
+
+
 def _by_model(texts: pa.Array, models: pa.Array):
-    """Per model of a slice: its name, its rows, n-grams and characters."""
+    """Per model of a slice: its name, its rows, and their characters."""
     names = np.array(models.to_pylist(), object)
     for name in sorted(set(names.tolist())):
         rows = np.flatnonzero(names == name)
         points, ends = _points(texts.take(pa.array(rows)))
         if len(points):
-            yield name, rows, points, ends, *wide_grams(points, ends)
+            yield name, rows, points, ends
+
+
+def _sum_up(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct (a, b) with the sums of their numbers."""
+    a, b, n = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.add.reduceat(n, first)
+
+
+def gram_numbers(texts: pa.Array, models: pa.Array) -> dict[str, list[tuple[np.ndarray, ...]]]:
+    """Per model: (a, b, n) of each slice of these texts."""
+    out: dict[str, list] = {}
+    for name, _, points, ends in _by_model(texts, models):
+        for _, _, a, b, of in sliced_grams(points, ends):
+            out.setdefault(name, []).append((a, b, np.bincount(of, minlength=len(a))))
+    return out
 
 
-def gram_rows(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(*keys, model, a, b, n): the n-grams of each slice of a task with the same keys, with their numbers."""
+def gram_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(model, a, b, n): the n-grams of each slice of a task, with their numbers."""
     small_batches(docs.sparkSession)
-    names = [*keys, "model", "a", "b", "n"]
 
     def run(batches):
         for batch in batches:
-            col = {n: batch.column(batch.schema.get_field_index(n)) for n in [text_col, "_model", *keys]}
-            for x, y in chunks(col[text_col], _CHUNK):
-                part = {n: c.slice(x, y - x) for n, c in col.items()}
-                for value in pc.unique(part[keys[0]]) if keys else [None]:
-                    mine = {n: c.filter(pc.equal(part[keys[0]], value)) for n, c in part.items()} if keys else part
-                    for name, _, _, _, a, b, of in _by_model(mine[text_col], mine["_model"]):
-                        fixed = [pa.array([value.as_py()] * len(a), pa.int64())] if keys else []
-                        yield pa.RecordBatch.from_arrays([*fixed, pa.array([name] * len(a), pa.string()), *map(pa.array, (a, b, np.bincount(of, minlength=len(a))))], names=names)
+            texts, models = (batch.column(batch.schema.get_field_index(n)) for n in (text_col, "_model"))
+            for x, y in chunks(texts, _CHUNK):
+                for name, found in gram_numbers(texts.slice(x, y - x), models.slice(x, y - x)).items():
+                    a, b, n = _sum_up(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(a), pa.string()), *map(pa.array, (a, b, n))], names=["model", "a", "b", "n"])
         give_back()
 
-    return docs.mapInArrow(run, ", ".join([*(f"{k} bigint" for k in keys), "model string, a bigint, b bigint, n bigint"]))
+    return docs.mapInArrow(run, "model string, a bigint, b bigint, n bigint")
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """(part, rows, model, a, b, n): a part's documents as one compressed value, and rows of its distinct n-grams.
+
+    Parts are numbered by task; their numbers hold because they are only read from the table that is written of them.
+    """
+    small_batches(docs.sparkSession)
+    schema = T._parse_datatype_string("part bigint, rows binary, model string, a bigint, b bigint, n bigint")
+
+    def run(batches):
+        task, number = TaskContext.get().partitionId(), 0
+
+        def close(held: list[pa.RecordBatch], found: dict):
+            part = (task << 32) + number
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            none = [pa.nulls(1, t) for t in (pa.string(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([part]), blob, *none], names=schema.names)
+            for name, slices in found.items():
+                a, b, n = _sum_up(slices)
+                fixed = [pa.array(np.full(len(a), part)), pa.nulls(len(a), pa.binary()), pa.array([name] * len(a), pa.string())]
+                yield pa.RecordBatch.from_arrays([*fixed, *map(pa.array, (a, b, n))], names=schema.names)
+
+        held, found, size = [], {}, 0
+        for batch in batches:
+            texts, models = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "_model"))
+            for x, y in chunks(texts, _CHUNK):
+                if size >= PART:
+                    yield from close(held, found)
+                    held, found, size, number = [], {}, 0, number + 1
+                mine = texts.slice(x, y - x)
+                for name, slices in gram_numbers(mine, models.slice(x, y - x)).items():
+                    found.setdefault(name, []).extend(slices)
+                held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(x, y - x)]) for c in batch.columns], schema=batch.schema))
+                size += pc.sum(pc.binary_length(mine)).as_py() or 0
+        if held:
+            yield from close(held, found)
+        del held, found
+        give_back()
+
+    return docs.mapInArrow(run, schema)
 
 
 def price(counted: DataFrame) -> DataFrame:
     """(model, a, b, bits): -log2 of the probability of each counted n-gram's last character after the others.
 
     Shorter orders count distinct left neighbours.  An order's own share and what its contexts leave to the shorter
-    order are columns of its table; each table takes the shorter order's probability by a join.
+    order are columns of its table; each table takes the shorter order's probability by a join.  What a model has once
+    goes to all tasks if few models were counted.
     """
+    few = counted.select("model").distinct().limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    once = F.broadcast if few else (lambda table: table)
     second, third, fourth = F.col("a").bitwiseAND(_LOW), F.shiftright("b", _BITS), F.col("b").bitwiseAND(_LOW)
     longest = counted.select("model", "a", "b", "n", second.alias("c2"), third.alias("c3"))
     three = longest.groupBy("model", "c2", "b").agg(F.count("*").alias("n")).withColumn("c3", third)
@@ -329,13 +408,13 @@ def price(counted: DataFrame) -> DataFrame:
             "model", "greatest(0D, least(0.95D, 1 - 2 * y * n2 / n1)) AS d1", "greatest(0D, least(1.9D, 2 - 3 * y * n3 / n2)) AS d2",
             "greatest(0D, least(2.85D, 3 - 4 * y * n4 / n3)) AS d3",
         )
-        cut_each = table.join(cut, "model").withColumn("d", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
+        cut_each = table.join(once(cut), "model").withColumn("d", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
         sums = cut_each.groupBy("model", *context).agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
-        both = cut_each.join(sums, ["model", *context])
+        both = cut_each.join(sums if context else once(sums), ["model", *context])
         return both.withColumn("own", F.expr("(n - d) / total")).withColumn("left", F.expr("greatest(cut / total, 1e-9D)")).drop("d", "d1", "d2", "d3", "total", "cut", "n")
 
     kinds = one.groupBy("model").agg(F.count("*").alias("kinds"))
-    p = shares(one, []).join(kinds, "model").selectExpr("model", "c4", "own + left / kinds AS p")
+    p = shares(one, []).join(once(kinds), "model").selectExpr("model", "c4", "own + left / kinds AS p")
     for table, context, key in ((two, ["c3"], ["c4"]), (three, ["c2", "c3"], ["b"]), (longest, ["a", "c3"], ["c2", "b"])):
         mine = shares(table, context).join(p, ["model", *key])
         names = [n for n in ("a", "c2", "b") if n in table.columns]
@@ -345,31 +424,29 @@ def price(counted: DataFrame) -> DataFrame:
 
 def measure(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Append the base counts, `model`, `bits` per symbol, `per_letter` and `middle` (null without text) and `base_failed`."""
-    spark = docs.sparkSession
     fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, model string, bits double, per_letter double, middle double, symbols bigint"
     new = T._parse_datatype_string(fields)
     kept = [f for f in docs.schema.fields if f.name not in new.names]
     names = [f.name for f in kept]
-    text = F.col("text")
-    docs = docs.withColumn("_model", F.coalesce("lang", F.lit(SHARED)))
-    counted = gram_rows(docs.select("text", "_model"), []).groupBy("model", "a", "b").agg(F.sum("n").alias("n"))
-    priced = scratch.put(price(scratch.put(counted, "grams")), "priced")
-
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(-(-size // PART), 2 * spark.sparkContext.defaultParallelism)
-    dealt = docs.select(*names, "_model", F.pmod(F.xxhash64(*names), F.lit(parts)).alias("_part")).repartition("_part")
-    asked = gram_rows(dealt, ["_part"]).select("_part", "model", "a", "b").distinct()
-    answers = asked.join(priced, ["model", "a", "b"])
+    docs = docs.select(*names, F.coalesce("lang", F.lit(SHARED)).alias("_model"))
+    packed = scratch.put(pack(docs), "packed")
+    grams = packed.where("model IS NOT NULL").drop("rows")
+    counted = scratch.put(grams.groupBy("model", "a", "b").agg(F.sum("n").alias("n")), "grams")
+    priced = scratch.put(price(counted).withColumn("bits", F.col("bits").cast("float")), "priced")
+    answers = grams.drop("n").join(priced, ["model", "a", "b"]).select(F.col("part").alias("asked"), "model", "a", "b", "bits")
+    documents = packed.where("model IS NULL").select("part", "rows")
 
     def work(texts: pa.Array, models: pa.Array, known: dict[str, SortedHashes]) -> list[pa.Array]:
         n, chars, symbols, lines, repeated = base_counts(texts)
         out = np.zeros((3, len(texts)))
         size = np.zeros(len(texts), np.int64)
-        for name, rows, points, ends, a, b, of in _by_model(texts, models):
-            each, letter = known[name].get(_key(a, b), np.nan)[of], _letters(points)
+        for name, rows, points, ends in _by_model(texts, models):
+            each, letter = np.empty(len(points), np.float32), _letters(points)
+            for lo, hi, a, b, of in sliced_grams(points, ends):
+                each[lo:hi] = known[name].get(_key(a, b), np.nan)[of]
             total = _per_text(each, ends)
             size[rows] = np.diff(ends)
-            out[:, rows] = total / np.maximum(size[rows], 1), total / np.maximum(_per_text(letter.astype(np.int64), ends), 1), middle_piece(each, letter, ends)
+            out[:, rows] = total / np.maximum(size[rows], 1), total / np.maximum(_per_text(letter, ends), 1), middle_piece(each, letter, ends)
         failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
         return [*map(pa.array, (n, chars, symbols, lines, repeated)), pa.array(failed), models.cast(pa.string()), *(pa.array(x, mask=size == 0) for x in out), pa.array(size)]
 
@@ -379,15 +456,14 @@ def measure(docs: DataFrame, scratch: Scratch) -> DataFrame:
             mine = right.filter(pc.equal(right["model"], name))
             known[name] = SortedHashes(_key(mine["a"].to_numpy(), mine["b"].to_numpy()), mine["bits"].to_numpy())
         made = []
-        for batch in left.to_batches():
-            col = {n: batch.column(batch.schema.get_field_index(n)) for n in [*names, "_model"]}
-            for x, y in chunks(col["text"], _CHUNK):
-                part = {n: c.slice(x, y - x) for n, c in col.items()}
-                made.append(pa.RecordBatch.from_arrays([*(part[n] for n in names), *work(part["text"], part["_model"], known)], names=names + new.names))
+        for blob in left["rows"].to_pylist():
+            for batch in pa.ipc.open_stream(blob):
+                col = {n: batch.column(batch.schema.get_field_index(n)) for n in [*names, "_model"]}
+                made.append(pa.RecordBatch.from_arrays([*(col[n] for n in names), *work(col["text"], col["_model"], known)], names=names + new.names))
         give_back()
         return pa.Table.from_batches(made)
 
-    return dealt.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(run, T.StructType(kept + list(new.fields)))
+    return documents.groupBy("part").cogroup(answers.groupBy("asked")).applyInArrow(run, T.StructType(kept + list(new.fields)))
 
 
 def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -396,39 +472,42 @@ def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed ^ mixed >> np.uint64(29)) + b.astype(np.uint64)
 
 
-def bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
-    """Per model the least bits per letter of a text and the most of its middle piece, from histograms over all documents."""
+def _spread(passed: DataFrame, end: str) -> DataFrame:
+    """(model, median, off): median and median distance from it, from a histogram whose size doesn't grow with the table."""
+    bins = passed.groupBy("model", F.floor(F.col(end) * BINS).alias("bin")).agg(F.count("*").alias("c"))
+
+    def half(table: DataFrame, by: str) -> DataFrame:
+        so_far = F.sum("c").over(Window.partitionBy("model").orderBy(by))
+        every = F.sum("c").over(Window.partitionBy("model"))
+        return table.withColumn("so_far", so_far).withColumn("every", every).where("2 * so_far >= every").groupBy("model").agg(F.min(by).alias(f"half_{by}"))
+
+    middle = half(bins, "bin")
+    off = bins.join(middle, "model").withColumn("off", F.abs(F.col("bin") - F.col("half_bin"))).groupBy("model", "off").agg(F.sum("c").alias("c"))
+    return middle.join(half(off, "off"), "model").select("model", ((F.col("half_bin") + 0.5) / BINS).alias("median"), (F.col("half_off") * (1.4826 / BINS)).alias("off"))
+
+
+def bands(measured: DataFrame) -> DataFrame:
+    """(model, low, high): the least bits per letter of a text and the most of its middle piece, over all documents."""
     passed = measured.where("NOT base_failed AND bits IS NOT NULL")
-    bins = {end: passed.groupBy("model", F.floor(F.col(end) * 200).alias("b")).count().collect() for end in ("per_letter", "middle")}
-
-    def reach(name: str, end: str) -> tuple[float, float]:
-        own = sorted((r.b, r["count"]) for r in bins[end] if r.model == name)
-        at, n = np.array([(b + 0.5) / 200 for b, _ in own]), np.array([c for _, c in own])
-        middle = float(at[np.searchsorted(n.cumsum(), n.sum() / 2)])
-        off = np.argsort(np.abs(at - middle))
-        return middle, 1.4826 * float(np.abs(at - middle)[off][np.searchsorted(n[off].cumsum(), n.sum() / 2)])
-
-    out = {}
-    for name in {r.model for r in bins["middle"]}:
-        (low, below), (high, above) = reach(name, "per_letter"), reach(name, "middle")
-        out[name] = (low - BELOW * below, high + ABOVE * above)
-    return out
+    low = _spread(passed, "per_letter").select("model", (F.col("median") - BELOW * F.col("off")).alias("low"))
+    high = _spread(passed, "middle").select("model", (F.col("median") + ABOVE * F.col("off")).alias("high"))
+    return low.join(high, "model")
 
 
 def judge(docs: DataFrame, scratch: Scratch | None = None, columns: list[str] | None = None) -> DataFrame:
     """Append counts, `perplexity` and `kept` to `docs` (text, lang and what else it has).
 
-    With `scratch` and `columns` the measured rows are kept as a table, so that each text is measured once.
+    The measured rows are kept as a table, with those of the input's columns that are wanted, so that each text is measured once.
     """
-    measured = measure(docs, scratch or Scratch(docs.sparkSession))
+    scratch = scratch or Scratch(docs.sparkSession)
+    measured = measure(docs, scratch)
     if columns is not None:
         measured = measured.drop(*[c for c in docs.columns if c not in columns])
-    if scratch is not None:
-        measured = scratch.put(measured, "quality")
-    found = bands(measured)
+    measured = scratch.put(measured, "quality")
+    scratch.drop("packed", "grams", "priced")
+    ends = scratch.put(bands(measured).withColumnsRenamed({"low": "_low", "high": "_high"}), "bands")
+    measured = small_join(measured, ends, ["model"], "left")
     slack = SHORT / F.sqrt(F.greatest("symbols", F.lit(1)))
-    ends = docs.sparkSession.createDataFrame([(name, low, high) for name, (low, high) in sorted(found.items())], "model string, _low double, _high double")
-    measured = measured.join(F.broadcast(ends), "model", "left")
     inside = (F.col("per_letter") >= F.col("_low") - slack) & (F.col("middle") <= F.col("_high") + slack)
     return measured.withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("model", "bits", "per_letter", "middle", "symbols", "_low", "_high")
 

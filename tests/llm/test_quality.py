@@ -32,7 +32,7 @@ def test_distributed_model_equals_the_one_in_memory(spark, make, scratch):
     r = random.Random(5)
     texts = [" ".join(prose(r, ["да", "не", "ба", "#", "$"], 40)) for _ in range(30)]
     docs = make(texts).withColumn("_model", F.lit("en"))
-    counted = quality.gram_rows(docs.select("text", "_model"), []).groupBy("model", "a", "b").agg(F.sum("n").alias("n"))
+    counted = quality.gram_rows(docs.select("text", "_model")).groupBy("model", "a", "b").agg(F.sum("n").alias("n"))
     rows = {(x.a, x.b): x for x in counted.join(quality.price(counted), ["model", "a", "b"]).collect()}
     plain = Counter(tuple(("\0" * 3 + t)[i : i + 4]) for t in texts for i in range(len(t)))
     point = {c: ord(c) + 1 if c != "\0" else 0 for c in set("\0" + "".join(texts))}
@@ -54,3 +54,55 @@ def test_every_language_has_its_own_bands(spark):
     rows += [("j", " ".join(noise())) for _ in range(5)]
     docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
     assert [x.lang for x in quality.judge(docs).where("NOT kept").collect() if x.lang in "ij"] == []
+
+
+def plain_bits(texts):
+    """Interpolated modified Kneser-Ney over 4-grams of characters, by dictionaries: text -> bits of each character."""
+    grams = [Counter()]
+    for t in texts:
+        padded = "\0" * 3 + t
+        grams[0].update(padded[i : i + 4] for i in range(len(t)))
+    for _ in range(3):  # shorter ones count the kinds of characters before them
+        grams.insert(0, Counter(g[1:] for g in grams[0]))
+    cut, total, spare = [], [], []
+    for level in grams:
+        n = [max(1, sum(c == k for c in level.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        top = [0, 0.95, 1.9, 2.85]
+        d = [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), top[k]) for k in (1, 2, 3))]
+        sums, left = Counter(), Counter()
+        for g, c in level.items():
+            sums[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3)]
+        cut.append(d), total.append(sums), spare.append(left)
+    kinds = len(grams[0])
+
+    def p(g):
+        if not g:
+            return 1 / kinds
+        k, c = len(g) - 1, grams[len(g) - 1][g]
+        return (c - cut[k][min(c, 3)]) / total[k][g[:-1]] + max(spare[k][g[:-1]] / total[k][g[:-1]], 1e-9) * p(g[1:])
+
+    return lambda t: [-np.log2(p(("\0" * 3 + t)[i : i + 4])) for i in range(len(t))]
+
+
+def test_perplexity_against_brute_force(make, scratch, monkeypatch):
+    """Also when a part holds one text and a slice a few characters only."""
+    r = random.Random(15)
+    texts = [" ".join(prose(r, ["да", "не", "ba", "ki", "é", "|"], r.randint(1, 30))) for _ in range(40)] + ["", None, "x"]
+    bits = plain_bits([t for t in texts if t])
+    for part, chunk in ((quality.PART, quality._CHUNK), (1, 7)):
+        monkeypatch.setattr(quality, "PART", part)
+        monkeypatch.setattr(quality, "_CHUNK", chunk)
+        got = {x.doc_id: x.perplexity for x in quality.judge(make(texts), scratch()).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == (pytest.approx(2 ** np.mean(bits(t)), rel=1e-4) if t else None), (part, i)
+
+
+def test_texts_in_another_script_are_rejected(spark):
+    r = random.Random(16)
+    russian = lambda n=120: " ".join(prose(r, ["да", "не", "по", "ло", "ми", "ра", "су", "ки"], n))
+    odd = [" ".join(prose(r, ["αλ", "βε", "γο", "δι"], 120)), " ".join(prose(r, ["שא", "לב", "מי"], 120)), " ".join("".join(r.choices("абвгдежзийклмнопрстуфхцчшщъыьэюя", k=7)) for _ in range(120))]
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate([russian() for _ in range(300)] + odd)], "doc_id long, text string, lang string")
+    rejected = sorted(x.doc_id for x in quality.judge(docs).where("NOT kept").collect())
+    assert rejected == [300, 301, 302]

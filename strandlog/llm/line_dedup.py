@@ -1,18 +1,20 @@
 """Line de-duplication by winnowing: delete later repeats of runs of lines.
 
-A run counts if it has at least `MIN_WORDS` words; words are what spaces separate, lines without a word are
+A run counts if it has at least `MIN_WORDS` words; words are runs of `[^\\x20\\x09-\\x0D]`, lines without a word are
 passed over but go with a run that encloses them.
 
-1. Every line is hashed.  A gram is the shortest run from a line on with `MIN_WORDS // 2` words; the window of
-   a line is the shortest run from it with `MIN_WORDS` words.  The least gram hash inside each window is selected as a
-   fingerprint.  Two texts that share a run of `MIN_WORDS` words share a window, hence a fingerprint: none is missed.
-2. Positions meet by fingerprint; windows whose fingerprint stands in one place only are left out.
-3. Matches are extended both ways over whole windows: the windows that begin, and those that end, at each
-   line of a match are compared by the hashes of their lines, so a match reaches as far as both texts agree.
-   Each window's first place, by document id and line, stays; all later places are deleted.
+1. Every line is hashed.  A gram is the shortest run from a line on with `MIN_WORDS // 2` words; a window is the shortest run
+   from a line on, or back from it, with `MIN_WORDS` words.  The least gram hash inside each window is selected:
+   its place is a fingerprint, one for all the windows that select it.  Two texts that share a run of `MIN_WORDS`
+   words share a window, hence a fingerprint: none is missed.
+2. Positions meet by fingerprint; a fingerprint that stands in one place only goes no further.
+3. From each place of a shared fingerprint the match is extended both ways, window by window of those that selected it: the
+   stretches around it that begin, and those that end, at each line are compared by the hashes of their lines.
+   A match thus reaches as far as both texts agree.  Each stretch's first place, by document id and line, stays; all
+   later places are deleted.
 
 A group of any size is reduced to its first place by an aggregate before anything is joined to it; no pairs are
-formed.  All places of one window meet their first place in one task, as rows of a few numbers.
+formed.  Fingerprints and stretches with more than a thousandth of all places are joined apart from the shuffle.
 
 Cases: null text stays null; rows that repeat an id and text count as one document and get the same result; null
 ids come first; a text that consists of repeats becomes empty, its row stays.  A run that repeats inside one text is
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import Scratch, text_key
+from strandlog.llm.common import Scratch, hot_join, text_key
 
 #: Repeated runs of more than 50 words are found.
 MIN_WORDS = 51
@@ -36,7 +38,7 @@ def _line_table(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     rows = docs.where(F.col(text_col).isNotNull()).select(
         *text_key(F.col(id_col), F.col(text_col)), F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
     )
-    words = F.size(F.array_remove(F.split("line", " "), ""))
+    words = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+"))
     rows = rows.select(*KEY, "doc_id", "pos", F.struct(F.xxhash64("line").alias("x"), F.xxhash64(F.lit(7), "line").alias("y")).alias("h"), words.cast("long").alias("n"))
     # dealt by document once; all windows below keep to it.  Rows that repeat a document fall together here.
     rows = rows.where("n > 0").repartition(*KEY).dropDuplicates([*KEY, "pos"])
@@ -48,8 +50,8 @@ def _digest(lines: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), lines)
 
 
-def windows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per line its window forwards and backwards, each with the fingerprint selected in it."""
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per selected place: document key, gram hash `mark`, and the `stretches` (x, y, start, stop) that selected it."""
     lines = _line_table(docs, text_col, id_col)
     ahead = Window.partitionBy(*KEY).orderBy("before")
     run, gram = ahead.rangeBetween(0, min_words - 1), ahead.rangeBetween(0, min_words // 2 - 1)
@@ -58,44 +60,42 @@ def windows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min
         "gram": F.collect_list("h").over(gram), "gram_words": F.sum("n").over(gram), "gram_end": F.max("pos").over(gram),
     })
     whole = F.col("run_words") >= min_words
+
+    def stretch(found: Column, hashes: str, start: str, stop: str) -> Column:
+        return F.when(found, F.struct(_digest(F.col(hashes), 1).alias("x"), _digest(F.col(hashes), 2).alias("y"), F.col(start).alias("start"), F.col(stop).alias("stop")))
+
     lines = lines.select(
-        *KEY, "doc_id", "pos", "h", "upto", "before",
-        F.when(whole, F.col("run_end")).alias("run_end"),
-        F.when(whole, _digest(F.col("run"), 1)).alias("run_x"), F.when(whole, _digest(F.col("run"), 2)).alias("run_y"),
+        *KEY, "doc_id", "pos", "h", "upto", "before", stretch(whole, "run", "pos", "run_end").alias("forth"),
         F.when(F.col("gram_words") >= min_words // 2, F.struct(_digest(F.col("gram"), 3).alias("g"), "pos", F.col("gram_end").alias("stop"))).alias("gram"),
     )
     lines = lines.withColumn("grams", F.collect_list("gram").over(run))
-    inside = F.filter("grams", lambda g: g.stop <= F.col("run_end"))
-    lines = lines.withColumn("mark", F.when(F.col("run_end").isNotNull(), F.array_min(inside))).drop("grams", "gram")
+    inside = F.filter("grams", lambda g: g.stop <= F.col("forth.stop"))
+    lines = lines.withColumn("mark", F.when(F.col("forth").isNotNull(), F.array_min(inside))).drop("grams", "gram")
     back = Window.partitionBy(*KEY).orderBy("upto").rangeBetween(-(min_words - 1), 0)
     lines = lines.withColumns({
         "back": F.collect_list("h").over(back), "back_start": F.min("pos").over(back), "back_from": F.min("before").over(back),
-        "back_mark": F.first("mark").over(back), "back_run_end": F.first("run_end").over(back),
-        "last_mark": F.lag("mark.pos").over(ahead),
+        "back_mark": F.first("mark").over(back), "back_end": F.first("forth.stop").over(back),
     })
-    # a window backwards that equals one forwards is known already
-    new = (F.col("upto") - F.col("back_from") >= min_words) & (F.coalesce(F.col("back_run_end"), F.lit(-1)) != F.col("pos"))
-    return lines.select(
-        *KEY, "doc_id", "pos", "run_end", "run_x", "run_y", F.col("mark.g").alias("mark"),
-        (F.col("mark").isNotNull() & ~F.col("mark.pos").eqNullSafe(F.col("last_mark"))).alias("fresh"),
-        F.when(new, F.col("back_start")).alias("back_start"), F.when(new, _digest(F.col("back"), 1)).alias("back_x"),
-        F.when(new, _digest(F.col("back"), 2)).alias("back_y"), F.when(new, F.col("back_mark.g")).alias("back_mark"),
-    )
+    # a window backwards that equals one forwards is known already; any other holds the one from its first line, hence its mark
+    new = (F.col("upto") - F.col("back_from") >= min_words) & (F.coalesce(F.col("back_end"), F.lit(-1)) != F.col("pos"))
+    lines = lines.withColumn("backward", stretch(new, "back", "back_start", "pos"))
+    both = F.array(
+        F.struct(F.col("mark"), F.col("forth").alias("stretch")),
+        F.struct(F.when(F.col("backward").isNotNull(), F.col("back_mark")).alias("mark"), F.col("backward").alias("stretch")),
+    )
+    each = lines.select(*KEY, "doc_id", F.inline(both)).where("mark IS NOT NULL AND stretch IS NOT NULL")
+    # dealt by document still: no shuffle
+    found = each.groupBy(*KEY, "doc_id", F.col("mark.g").alias("mark"), F.col("mark.pos").alias("pos")).agg(F.collect_list("stretch").alias("stretches"))
+    return found.drop("pos")
 
 
-def repeated_runs(table: DataFrame) -> DataFrame:
+def repeated_runs(table: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, runs): merged line ranges, as (start, stop) with stop included, that repeat an earlier place."""
-    marks = table.where("fresh").groupBy("mark").count().where("count > 1").select("mark")
-    places = table.select(
-        *KEY, "doc_id",
-        F.explode(F.array(
-            F.struct(F.col("mark"), F.col("run_x").alias("x"), F.col("run_y").alias("y"), F.col("pos").alias("start"), F.col("run_end").alias("stop")),
-            F.struct(F.col("back_mark").alias("mark"), F.col("back_x").alias("x"), F.col("back_y").alias("y"), F.col("back_start").alias("start"), F.col("pos").alias("stop")),
-        )).alias("w"),
-    ).select(*KEY, "doc_id", "w.*").where("mark IS NOT NULL")
-    places = places.join(marks, "mark", "left_semi").withColumn("place", F.struct("doc_id", *KEY, "start"))
-    firsts = places.groupBy("x", "y").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = places.join(firsts, ["x", "y"]).where(F.col("place") > F.col("first")).select(*KEY, "start", "stop")
+    marks = scratch.put(table.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"), "line_marks")
+    shared = hot_join(table, marks, ["mark"], "n").select(*KEY, "doc_id", F.inline("stretches"))
+    places = scratch.put(shared.withColumn("place", F.struct("doc_id", *KEY, "start")).drop("doc_id"), "line_places")
+    firsts = places.groupBy("x", "y").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = hot_join(places, scratch.put(firsts, "line_firsts"), ["x", "y"], "n").where(F.col("place") > F.col("first")).select(*KEY, "start", "stop")
     by_start = Window.partitionBy(*KEY).orderBy("start", "stop")
     reach = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("opens", (F.col("start") > F.coalesce(reach, F.lit(-2)) + 1).cast("int"))
@@ -106,9 +106,10 @@ def repeated_runs(table: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with the text's later repeats deleted, `removed_runs` and `n_removed_lines`."""
-    table = scratch.put(windows(docs, text_col, id_col, min_words), "line_windows")
+    table = scratch.put(fingerprints(docs, text_col, id_col, min_words), "line_marks_of_documents")
     keyed = docs.drop("removed_runs", "n_removed_lines").withColumns(dict(zip(("_strandlog_ka", "_strandlog_kb"), text_key(F.col(id_col), F.col(text_col)))))
-    runs = repeated_runs(table).select(F.col("key_a").alias("_strandlog_ka"), F.col("key_b").alias("_strandlog_kb"), F.col("runs").alias("removed_runs"))
+    runs = scratch.put(repeated_runs(table, scratch), "line_runs").select(F.col("key_a").alias("_strandlog_ka"), F.col("key_b").alias("_strandlog_kb"), F.col("runs").alias("removed_runs"))
+    scratch.drop("line_marks_of_documents", "line_marks", "line_places", "line_firsts")
     met = keyed.join(runs, ["_strandlog_ka", "_strandlog_kb"], "left").drop("_strandlog_ka", "_strandlog_kb")
     kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.exists("removed_runs", lambda r: i.between(r.start, r.stop)))
     n = F.aggregate("removed_runs", F.lit(0), lambda a, r: a + (r.stop - r.start + 1).cast("int"))

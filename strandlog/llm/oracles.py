@@ -3,7 +3,7 @@
 LINE_DEDUP = r"""
 WITH al AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
 l AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS upto FROM
-      (SELECT *, len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS n FROM al) WHERE n > 0),
+      (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM al) WHERE n > 0),
 f AS (SELECT doc_id, pos AS a, max(pos) OVER w AS b, list(line) OVER w AS c, sum(n) OVER w AS t FROM l
       WINDOW w AS (PARTITION BY doc_id ORDER BY upto - n RANGE BETWEEN CURRENT ROW AND 50 FOLLOWING)),
 g AS (SELECT doc_id, min(pos) OVER w AS a, pos AS b, list(line) OVER w AS c, sum(n) OVER w AS t FROM l

@@ -4,7 +4,7 @@ The language model is an interpolated modified Kneser-Ney model over n-grams of
 counts the n-grams of every document, and counts, contexts and probabilities stay distributed tables that grow with
 the corpus; nothing of their size comes to the driver or to every task.  Texts are packed into parts of about `PART`
 bytes, each a compressed row of a table beside the part's distinct n-grams.  The n-grams of all parts give the
-model; a join answers what each part asks for, and a part meets its answers as sorted hash arrays.  Every
+model; a join answers what each part asks for, and a part, where it lies, meets its answers as sorted hash arrays.  Every
 language has a model and bands of its own; documents of no language share one.
 
 The bands are drawn on bits per letter (or digit): marks between the words cost bits and give no letters.  Per
@@ -429,7 +429,7 @@ def measure(docs: DataFrame, scratch: Scratch) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in new.names]
     names = [f.name for f in kept]
     docs = docs.select(*names, F.coalesce("lang", F.lit(SHARED)).alias("_model"))
-    packed = scratch.put(pack(docs), "packed")
+    packed = scratch.put_dealt(pack(docs), "packed", "part")
     grams = packed.where("model IS NOT NULL").drop("rows")
     counted = scratch.put(grams.groupBy("model", "a", "b").agg(F.sum("n").alias("n")), "grams")
     priced = scratch.put(price(counted).withColumn("bits", F.col("bits").cast("float")), "priced")

@@ -110,7 +110,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", id
     keyed = docs.drop("removed_runs", "n_removed_lines").withColumns(dict(zip(("_strandlog_ka", "_strandlog_kb"), text_key(F.col(id_col), F.col(text_col)))))
     runs = scratch.put(repeated_runs(table, scratch), "line_runs").select(F.col("key_a").alias("_strandlog_ka"), F.col("key_b").alias("_strandlog_kb"), F.col("runs").alias("removed_runs"))
     scratch.drop("line_marks_of_documents", "line_marks", "line_places", "line_firsts")
-    met = keyed.join(runs, ["_strandlog_ka", "_strandlog_kb"], "left").drop("_strandlog_ka", "_strandlog_kb")
+    # a plan that doesn't depend on how many repeats there are
+    met = keyed.join(runs.hint("merge"), ["_strandlog_ka", "_strandlog_kb"], "left").drop("_strandlog_ka", "_strandlog_kb")
     kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.exists("removed_runs", lambda r: i.between(r.start, r.stop)))
     n = F.aggregate("removed_runs", F.lit(0), lambda a, r: a + (r.stop - r.start + 1).cast("int"))
     return met.withColumns({

@@ -10,7 +10,7 @@ end position is kept as a backpointer.
   their joint text were encoded alone, so the lattice allows a step only between such neighbours; one
   path is left, and its last piece at each position is the backpointer.
 
-Text is treated as the model's own normaliser does with identity rules: a space is put before the
+Models with other normalisers than identity are refused.  Text is treated as that one does: a space is put before the
 text and spaces become U+2581.  Characters outside the vocabulary become byte pieces.  A null text has
 null ids; an empty text has no ids.  A literal U+2581 decodes to a space, as in the library.
 """
@@ -34,6 +34,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FAR = np.int64(1) << 40
 #: Cells of the lattice that are worked on at once.
 _CELLS = 1 << 19
+#: Characters of a word that is encoded whole, of the stretches of a longer one, and what two stretches share.
+LONG, STRETCH, SHARED = 1024, 512, 96
 
 
 def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
@@ -121,6 +123,11 @@ class PieceModel:
         with open(path, "rb") as file:
             proto.ParseFromString(file.read())
         bpe = proto.trainer_spec.model_type == 2
+        rules = proto.normalizer_spec
+        if proto.trainer_spec.model_type not in (1, 2):
+            raise ValueError("only unigram and BPE models are supported")
+        if rules.precompiled_charsmap or not rules.add_dummy_prefix or rules.remove_extra_whitespaces or not rules.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that normalise by identity, with a space in front, are supported")
         if any(p.type == 4 for p in proto.pieces):
             raise ValueError("user-defined pieces are not supported")
         plain = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
@@ -228,12 +235,52 @@ class PieceModel:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         starts = np.cumsum(sizes) - sizes
+        long = np.flatnonzero(sizes > LONG) if self.bpe else np.zeros(0, np.int64)
+        if not len(long):
+            return self._bytes_for_unknown(*self._segment(codes, starts, sizes)[:2])
+        short = np.flatnonzero(sizes <= LONG)
+        flat, ends, _ = self._segment(codes, starts[short], sizes[short])
+        made: list[np.ndarray] = [None] * len(words)
+        for k, i in enumerate(short.tolist()):
+            made[i] = flat[ends[k] : ends[k + 1]]
+        for i in long.tolist():
+            made[i] = self._long_word(codes[starts[i] : starts[i] + sizes[i]])
+        return self._bytes_for_unknown(np.concatenate(made), np.concatenate([[0], np.cumsum([len(x) for x in made])]))
+
+    def _long_word(self, codes: np.ndarray) -> np.ndarray:
+        """The pieces of one long word for a BPE model, from stretches that are encoded together."""
+        starts = np.arange(0, max(len(codes) - SHARED, 1), STRETCH)
+        flat, ends, lengths = self._segment(codes, starts, np.minimum(STRETCH + SHARED, len(codes) - starts))
+        none, out, done = len(self.raw), [], 0  # `done`: where the pieces taken so far end
+        for k, start in enumerate(starts.tolist()):
+            ids = flat[ends[k] : ends[k + 1]]
+            stops = start + np.cumsum(lengths[ends[k] : ends[k + 1]])
+            first = int(np.searchsorted(stops, done, "right"))  # the first piece that begins at `done`
+            if k + 1 == len(starts):
+                out.append(ids[first:])
+                break
+            own, after = slice(ends[k + 1], ends[k + 2]), starts[k + 1]
+            next_ids, next_from = flat[own], after + np.cumsum(lengths[own]) - lengths[own]
+            # places where a piece ends here and one begins there, those in the middle of the shared part first
+            both, here, there = np.intersect1d(stops[first:], next_from, return_indices=True)
+            here = here + first
+            fits = self.stay_apart(np.where(ids[here] < 0, none, ids[here]), np.where(next_ids[there] < 0, none, next_ids[there]))
+            usable = np.flatnonzero(fits & (both > done))
+            if not len(usable):
+                return self._segment(codes, np.zeros(1, np.int64), np.array([len(codes)]))[0]
+            at = usable[np.argmin(np.abs(both[usable] - after - SHARED // 2))]
+            out.append(ids[first : here[at] + 1])
+            done = int(both[at])
+        return np.concatenate(out)
+
+    def _segment(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (-1 - code point for what no piece matches) of each run of characters, the offsets, and the pieces' lengths."""
         none = len(self.raw)
-        counts = np.zeros(len(words), np.int64)
+        counts = np.zeros(len(sizes), np.int64)
         made = []
         by_size = np.argsort(sizes, kind="stable")
         edges = np.flatnonzero(np.diff(sizes[by_size], prepend=-1))
-        for lo, hi in zip(edges, [*edges[1:], len(words)]):
+        for lo, hi in zip(edges, [*edges[1:], len(sizes)]):
             length = int(sizes[by_size[lo]])
             step = max(1, _CELLS // max(length, 1))
             for at in range(lo, hi if length else lo, step):
@@ -242,24 +289,25 @@ class PieceModel:
                 last, back = self._lattice(block)
                 pos, live, steps = np.full(len(rows), length), np.arange(len(rows)), []
                 while len(live):
-                    token = last[live, pos[live]]
+                    token, size = last[live, pos[live]], back[live, pos[live]]
                     cp = block[live, pos[live] - 1].astype(np.int64)
-                    steps.append((live, np.where(token == none, -1 - cp, token)))
-                    pos[live] -= back[live, pos[live]]
+                    steps.append((live, np.where(token == none, -1 - cp, token), size))
+                    pos[live] -= size
                     live = live[pos[live] > 0]
                 n = np.bincount(np.concatenate([s[0] for s in steps]), minlength=len(rows))
                 counts[rows] = n
-                flat = np.empty(n.sum(), np.int64)
+                flat, lengths = np.empty(n.sum(), np.int64), np.empty(n.sum(), np.int64)
                 ends = np.cumsum(n)
-                for k, (live, token) in enumerate(steps):
-                    flat[ends[live] - 1 - k] = token
-                made.append((rows, flat))
+                for k, (live, token, size) in enumerate(steps):
+                    flat[ends[live] - 1 - k], lengths[ends[live] - 1 - k] = token, size
+                made.append((rows, flat, lengths))
         offsets = np.concatenate([[0], np.cumsum(counts)])
-        out = np.empty(offsets[-1], np.int64)
-        for rows, flat in made:
+        out, spans = np.empty(offsets[-1], np.int64), np.empty(offsets[-1], np.int64)
+        for rows, flat, lengths in made:
             n = counts[rows]
-            out[np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
-        return self._bytes_for_unknown(out, offsets)
+            place = np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(len(flat))
+            out[place], spans[place] = flat, lengths
+        return out, offsets, spans
 
     def _bytes_for_unknown(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replace -1 - code point by the ids of its UTF-8 bytes, or by the unknown id."""

@@ -1,11 +1,14 @@
 """All visible text of a web page, laid out as a browser would show it.
 
 A tree builder reads tags as HTML does (void and raw-text elements, implied end tags, stray end tags),
-decides visibility (elements that never show, `hidden`, inline styles, simple selectors of the page's
-own style sheets, closed `details` and `dialog`), and a renderer walks the tree: blank lines around
+decides visibility (elements that never show, `hidden`, closed `details` and `dialog`, and what inline styles and the page's
+own sheets say of `display` and `visibility`), and a renderer walks the tree: blank lines around
 paragraphs and headings, one line for other blocks, markers and indents for lists, kept
 white space in `pre`, and table cells padded to common column widths.
 
+Of sheets, rules whose selector is one compound of a tag, classes and an id count, by importance, specificity and
+order; blocks for other media than a screen `SCREEN_PX` wide don't.  Numbers in attributes have bounds.
+
 Null html gives null text, empty html an empty text.  Broken markup never fails: what can't be read as a
 tag is text.  Nesting depth isn't bounded by Python's stack.
 """
@@ -57,13 +60,19 @@ _PARAGRAPH_EDGE = frozenset("table td th caption button html object template".sp
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+")
-_GONE = re.compile(r"display\s*:\s*none")
-_UNSEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+_CSS_MARK = re.compile(r"""\"[^"]*+\"|'[^']*+'|[{};]""")
+_COMPOUND = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)")
+_PART = re.compile(r"[.#][\w-]+")
+_DECLARED = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?")
+_WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9]{1,6}(?:\.[0-9]*)?)px\s*\)")
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Width of the screen that media queries are asked about.
+SCREEN_PX = 1280
+
+
 class Node:
     __slots__ = ("attrs", "children", "tag")
 
@@ -192,7 +201,7 @@ def build(source: str) -> TreeBuilder:
                 lower = "".join(c.lower() if c.isascii() else c for c in source)
             close = lower.find(f"</{tag}", end)
             body = source[end : n if close < 0 else close]
-            if tag == "style":
+            if tag == "style" and _on_screen(tree.open[-1].attrs.get("media", "")):
                 tree.css.append(body)
             tree.text(unescape(body) if tag in ESCAPABLE else body)
             if tree.open[-1].tag == tag:
@@ -202,30 +211,100 @@ def build(source: str) -> TreeBuilder:
     return tree
 
 
-def _hidden_selectors(sheets: list[str]) -> frozenset[str]:
-    out = set()
-    for sheet in sheets:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet.lower(), flags=re.S)):
-            if _GONE.search(body):
-                out |= {s.strip() for s in selectors.split(",") if _SIMPLE.fullmatch(s.strip())}
-    return frozenset(out)
-
-
-def _gone(node: Node, hidden: frozenset[str]) -> bool:
-    tag, attrs = node.tag, node.attrs
-    if tag in NEVER_SHOWN:
-        return True
-    if not attrs:
-        return tag in hidden or tag == "dialog"
-    if "hidden" in attrs or (tag == "dialog" and "open" not in attrs):
+def _on_screen(query: str) -> bool:
+    """Whether one of the media queries of a list holds for a screen; features other than the width don't hold."""
+    query = query.strip().lower()
+    if not query:
         return True
-    if hidden and (
-        tag in hidden
-        or any(f".{c}" in hidden for c in attrs.get("class", "").lower().split())
-        or f"#{attrs.get('id', '').lower()}" in hidden
-    ):
+    for each in query.split(","):
+        parts = [p.strip() for p in each.split(" and ")]
+        kind = parts[0].removeprefix("only ").strip()
+        features = parts[1:] if not kind.startswith("(") else parts
+        fits = kind in ("all", "screen") or kind.startswith("(") or (kind.startswith("not ") and kind not in ("not all", "not screen"))
+        for feature in features:
+            width = _WIDTH.fullmatch(feature)
+            fits = fits and bool(width) and ((SCREEN_PX >= float(width[2])) if width[1] == "min" else (SCREEN_PX <= float(width[2])))
+        if fits:
+            return True
+    return False
+
+
+def _rules(sheet: str):
+    """(selectors, body) of the style rules that apply to a screen."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet.lower(), flags=re.S)
+    applies, start, at = [True], 0, 0
+    while found := _CSS_MARK.search(sheet, at):
+        mark, at = found[0], found.end()
+        if mark == "{":
+            head = sheet[start : found.start()].strip()
+            if head.startswith("@"):
+                name, _, query = head.partition(" ")
+                inside = _on_screen(query) if name == "@media" else name.startswith(("@supports", "@layer", "@container"))
+                applies.append(applies[-1] and inside)
+            else:
+                end = sheet.find("}", at)
+                end = len(sheet) if end < 0 else end
+                if applies[-1]:
+                    yield head, sheet[at:end]
+                at = end + 1
+        elif mark == "}":
+            if len(applies) > 1:
+                applies.pop()
+        elif mark != ";":
+            continue  # a string
+        start = at
+
+
+class Style:
+    """What the page's sheets say of `display` and `visibility`."""
+
+    def __init__(self, sheets: list[str]) -> None:
+        #: id, class or tag -> (tag, what the element must have, rank, property, value)
+        self.rules: dict[str, list[tuple]] = {}
+        order = 0
+        for sheet in sheets:
+            for selectors, body in _rules(sheet):
+                said = _DECLARED.findall(body)
+                if not said:
+                    continue
+                for selector in selectors.split(","):
+                    compound = _COMPOUND.fullmatch(selector.strip())
+                    if not compound or not selector.strip():
+                        continue
+                    tag = compound[1] if compound[1] and compound[1] != "*" else ""
+                    parts = frozenset(_PART.findall(compound[2]))
+                    ids = sum(p[0] == "#" for p in parts)
+                    index = next(iter(sorted(parts)), tag or "*")
+                    for name, value, important in said:
+                        order += 1
+                        rank = (bool(important), 0, ids, len(parts) - ids, bool(tag), order)
+                        self.rules.setdefault(index, []).append((tag, parts, rank, name, value))
+
+    def of(self, node: Node) -> tuple[str, str]:
+        """The winning `display` and `visibility`, or empty strings."""
+        best: dict[str, tuple] = {}
+        attrs = node.attrs
+        if self.rules:
+            have = {f".{c}" for c in attrs.get("class", "").lower().split()} if "class" in attrs else set()
+            if "id" in attrs:
+                have.add(f"#{attrs['id'].lower()}")
+            for key in (node.tag, "*", *have):
+                for tag, parts, rank, name, value in self.rules.get(key, ()):
+                    if (not tag or tag == node.tag) and parts <= have and (name not in best or best[name][0] < rank):
+                        best[name] = (rank, value)
+        if "style" in attrs:
+            for k, (name, value, important) in enumerate(_DECLARED.findall(attrs["style"].lower())):
+                rank = (bool(important), 1, 0, 0, False, k)
+                if name not in best or best[name][0] < rank:
+                    best[name] = (rank, value)
+        return best.get("display", ("", ""))[1], best.get("visibility", ("", ""))[1]
+
+
+def _gone(node: Node, display: str) -> bool:
+    tag, attrs = node.tag, node.attrs
+    if tag in NEVER_SHOWN or display == "none":
         return True
-    return "style" in attrs and bool(_GONE.search(attrs["style"].lower()))
+    return not display and ("hidden" in attrs or (tag == "dialog" and "open" not in attrs))
 
 
 class Writer:
@@ -287,24 +366,28 @@ class Writer:
 class Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[int, int] = {}  # column -> rows it is still covered by a cell from above
+        self.covers: list[tuple[int, int, int]] = []  # columns from, to, and rows that a cell from above still covers
+        self.coming: list[tuple[int, int, int]] = []
+        self.next = 0
         self.column = 0
         self.caption = ""
 
     def row(self) -> None:
         if self.rows:
-            self.taken = {c: k - 1 for c, k in self.taken.items() if k > 1}
+            self.covers = sorted((a, b, k - 1) for a, b, k in self.covers + self.coming if k > 1)
+            self.coming = []
         self.rows.append([])
-        self.column = 0
+        self.column = self.next = 0
 
     def cell(self, text: str, columns: int, rows: int) -> None:
         if not self.rows:
             self.row()
-        while self.taken.get(self.column):
-            self.column += 1
+        while self.next < len(self.covers) and self.covers[self.next][0] <= self.column:
+            self.column = max(self.column, self.covers[self.next][1])
+            self.next += 1
         self.rows[-1].append((self.column, columns, text.split("\n")))
         if rows > 1:
-            self.taken |= {c: rows for c in range(self.column, self.column + columns)}
+            self.coming.append((self.column, self.column + columns, rows))
         self.column += columns
 
     def lines(self) -> list[str]:
@@ -326,14 +409,20 @@ class Table:
         return out
 
 
+def _number(value: str | None, default: int) -> int:
+    """An integer attribute; what isn't one, or has more than nine digits, counts as missing."""
+    found = _NUMBER.match(value) if value else None
+    return int(found[1]) if found else default
+
+
 def _count(value: str | None) -> int:
-    return min(int(value), 1000) if value and value.isascii() and value.isdigit() and int(value) > 0 else 1
+    return min(max(_number(value, 1), 1), 1000)
 
 
 def render(source: str) -> str:
     """The visible text of one page."""
     tree = build(source)
-    hidden = _hidden_selectors(tree.css)
+    style = Style(tree.css)
     out = Writer()
     writers, tables, lists = [out], [], []
     pre = 0
@@ -348,11 +437,10 @@ def render(source: str) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if _gone(node, hidden):
+            display, visibility = style.of(node) if style.rules or "style" in node.attrs else ("", "")
+            if _gone(node, display):
                 continue
-            style = node.attrs.get("style", "")
-            state = _UNSEEN.search(style.lower()) if style else None
-            seen.append(state[1] == "visible" if state else seen[-1])
+            seen.append(visibility == "visible" if visibility in ("visible", "hidden", "collapse") else seen[-1])
             if tag == "br":
                 w.line()
             elif tag == "wbr":
@@ -369,12 +457,13 @@ def render(source: str) -> str:
             elif tag in BLOCK:
                 w.want(1)
             if tag in ("ul", "ol", "menu", "dir"):
-                start = node.attrs.get("start", "1")
-                lists.append(int(start) if tag == "ol" and start.isascii() and start.isdigit() else 1 if tag == "ol" else None)
+                lists.append(_number(node.attrs.get("start"), 1) if tag == "ol" else None)
             elif tag == "li":
                 depth = max(len(lists) - 1, 0)
                 w.indent = "  " * depth
                 number = lists[-1] if lists else None
+                if number is not None:
+                    number = _number(node.attrs.get("value"), number)
                 w.marker = "- " if number is None else f"{number}. "
                 if number is not None:
                     lists[-1] = number + 1

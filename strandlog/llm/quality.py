@@ -352,35 +352,36 @@ def pack(docs: DataFrame) -> DataFrame:
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
 
-        def close(held: list[pa.RecordBatch], found: dict):
+        def close():
             part = (task << 32) + number
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
-                for batch in held:
-                    out.write_batch(batch)
-            blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            stream.close()
             none = [pa.nulls(1, t) for t in (pa.string(), pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([part]), blob, *none], names=schema.names)
-            for name, slices in found.items():
-                a, b, n = _sum_up(slices)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *none], names=schema.names)
+            for name in sorted(found):
+                a, b, n = _sum_up(found[name])
                 fixed = [pa.array(np.full(len(a), part)), pa.nulls(len(a), pa.binary()), pa.array([name] * len(a), pa.string())]
                 yield pa.RecordBatch.from_arrays([*fixed, *map(pa.array, (a, b, n))], names=schema.names)
 
-        held, found, size = [], {}, 0
+        stream, sink, found, size = None, None, {}, 0
         for batch in batches:
             texts, models = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "_model"))
             for x, y in chunks(texts, _CHUNK):
                 if size >= PART:
-                    yield from close(held, found)
-                    held, found, size, number = [], {}, 0, number + 1
+                    yield from close()
+                    stream, found, size, number = None, {}, 0, number + 1
+                if stream is None:  # rows are compressed as they come, so a part is never held as it is
+                    sink = pa.BufferOutputStream()
+                    stream = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5)))
+                stream.write_batch(batch.slice(x, y - x))
                 mine = texts.slice(x, y - x)
                 for name, slices in gram_numbers(mine, models.slice(x, y - x)).items():
                     found.setdefault(name, []).extend(slices)
-                held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(x, y - x)]) for c in batch.columns], schema=batch.schema))
+                    if len(found[name]) > 4:
+                        found[name] = [_sum_up(found[name])]
                 size += pc.sum(pc.binary_length(mine)).as_py() or 0
-        if held:
-            yield from close(held, found)
-        del held, found
+        if stream is not None:
+            yield from close()
+        del stream, sink, found
         give_back()
 
     return docs.mapInArrow(run, schema)

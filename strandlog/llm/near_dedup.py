@@ -12,8 +12,8 @@ sharply as independent hashing does, and a set of n elements costs about n + t l
    class only; a link is confirmed on the full sets (100 * intersection >= percent * union).
 3. Components of these links.  Buckets that still hold several components are searched exactly: two sets that are similar
    enough share an element among their rarest ones (prefix filter), so classes of different components meet by
-   those, and what meets is confirmed on the full sets.  An element that a crowd has among its rarest isn't
-   enough: sets that share it must share a second one among their rarest and one more, and meet by both.
+   those, and what meets is confirmed on the full sets.  Classes of the commonest component at an element aren't paired
+   with each other; those of many different components that share a rare element are.
 4. Components of all links.  Each document gets the least id of its component.
 
 Two sets at the threshold of 0.8 share no band with probability below 1e-5.
@@ -41,8 +41,6 @@ BANDS, ROWS = 50, 7
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: An element that so many sets have in their prefixes is only met together with a second one.
-CROWD = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -184,23 +182,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select("a", "b")
 
 
-def _meeting_keys(prefix: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(x, y, node, label, n, rest): what classes meet by, an element of their prefix or, in a crowd, two.
-
-    `prefix` holds each class's prefix and the element after it (`extra`).  Two similar sets share an element of both
-    prefixes and, if each prefix takes in one element more, two of those; so a crowd's element needs a second, but
-    for sets so small that one shared element is enough.
-    """
-    crowds = prefix.where("NOT extra").groupBy("x").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")
-    crowds = scratch.put(crowds, "rest_crowds")
-    met = scratch.put(hot_join(prefix.where("NOT extra"), crowds, ["x"], "c"), "rest_met")
-    alone = met.where((F.col("c") <= CROWD) | (F.col("n") * percent <= 100)).select("x", F.lit(None).cast("bigint").alias("y"), "node", "label", "n", "rest")
-    many = met.where(F.col("c") > CROWD)
-    second = prefix.select("node", F.col("x").alias("y"))
-    paired = many.join(second, "node").where("x <> y").select("x", "y", "node", "label", "n", "rest")
-    return alone.unionByName(paired)
-
-
 def _rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and an element of their prefixes."""
     labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
@@ -219,20 +200,16 @@ def _rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scrat
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("common"))
     # elements from this one on, this one included: the most that a pair can share if it is their first common one
     rest = F.col("common") - F.col("k") + 1
-    prefix = ranked.where(F.col("k") <= length + 1).select("x", "node", "label", "n", rest.alias("rest"), (F.col("k") > length).alias("extra"))
-    keys = scratch.put(_meeting_keys(scratch.put(prefix, "rest_prefix"), scratch, percent), "rest_keys")
-    # the label that most classes at a key have meets the others only; sizes that differ too much don't meet at all
-    by_label = keys.groupBy("x", "y", "label").agg(F.count("*").alias("c"))
-    main = by_label.groupBy("x", "y").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c")).where("labels > 1").drop("labels")
-    step = F.floor(F.log("n") / max(float(np.log(100 / percent)), 1e-3) + 1e-9).cast("int")
-    flat = keys.withColumn("y", F.coalesce("y", "x"))  # x never stands for a second element
-    main = scratch.put(main.withColumn("y", F.coalesce("y", "x")), "rest_main")
-    minor = hot_join(flat, main, ["x", "y"], "c").where("label <> main")
-    one = minor.select("x", "y", F.explode(F.array(step - 1, step, step + 1)).alias("step"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    two = flat.select("x", "y", step.alias("step"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    prefix = scratch.put(ranked.where(F.col("k") <= length).select("x", "node", "label", "n", rest.alias("rest")), "rest_prefix")
+    # the label that most classes at an element have is met by the others only
+    by_label = prefix.groupBy("x", "label").agg(F.count("*").alias("c"))
+    main = by_label.groupBy("x").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c")).where("labels > 1").drop("labels")
+    minor = hot_join(prefix, scratch.put(main, "rest_main"), ["x"], "c").where("label <> main")
+    one = minor.select("x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    two = prefix.select("x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return one.join(two, ["x", "y", "step"]).where((F.col("la") != F.col("lb")) & near & enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return one.join(two, "x").where((F.col("la") != F.col("lb")) & near & enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _classes(rows: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
@@ -256,7 +233,7 @@ def _classes(rows: DataFrame, docs: DataFrame, scratch: Scratch, words: int, per
     joined = scratch.put(joined.withColumn("component", F.coalesce("component", "node")).drop("node"), "joined")
     least = joined.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("members"))
     found = scratch.put(hot_join(joined.drop("least"), least, ["component"], "members").drop("members"), "found")
-    scratch.drop("joined", "classes", "entries", "pairs", "sets", "links", "more_links", *(f"rest_{k}" for k in ("nodes", "elements", "often", "prefix", "crowds", "met", "keys", "main")))
+    scratch.drop("joined", "classes", "entries", "pairs", "sets", "links", "more_links", *(f"rest_{k}" for k in ("nodes", "elements", "often", "prefix", "main")))
     return found
 
 

@@ -38,6 +38,8 @@ from strandlog.llm.components import components
 SHINGLE_WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 50, 7
+#: Rarer elements of a set that are looked at before one of its prefix makes it meet others.
+AHEAD = 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -200,16 +202,20 @@ def _rest(entries: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scrat
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("common"))
     # elements from this one on, this one included: the most that a pair can share if it is their first common one
     rest = F.col("common") - F.col("k") + 1
-    prefix = scratch.put(ranked.where(F.col("k") <= length).select("x", "node", "label", "n", rest.alias("rest")), "rest_prefix")
+    # a pair is wanted at its first common element; one that also shares an element just before needn't be found again
+    ahead = F.collect_list("x").over(rarest.rowsBetween(-AHEAD, -1))
+    ranked = ranked.withColumn("ahead", ahead)
+    prefix = scratch.put(ranked.where(F.col("k") <= length).select("x", "node", "label", "n", rest.alias("rest"), "ahead"), "rest_prefix")
     # the label that most classes at an element have is met by the others only
     by_label = prefix.groupBy("x", "label").agg(F.count("*").alias("c"))
     main = by_label.groupBy("x").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c")).where("labels > 1").drop("labels")
     minor = hot_join(prefix, scratch.put(main, "rest_main"), ["x"], "c").where("label <> main")
-    one = minor.select("x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    two = prefix.select("x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    one = minor.select("x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("ahead").alias("before_a"))
+    two = prefix.select("x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("ahead").alias("before_b"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return one.join(two, "x").where((F.col("la") != F.col("lb")) & near & enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    first = ~F.arrays_overlap("before_a", "before_b")
+    return one.join(two, "x").where((F.col("la") != F.col("lb")) & near & enough & first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _classes(rows: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:

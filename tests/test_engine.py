@@ -187,3 +187,14 @@ def test_shell(engine):
     assert "strandlog_keys" in s.run("metrics")
     with pytest.raises(ValueError):
         s.run("dance")
+
+
+def test_a_replica_drops_and_compacts_nothing(spark, tmp_path):
+    from strandlog.plans.engine import Engine, ReadOnly
+
+    Engine(spark, str(tmp_path / "s")).namespace("a").put("k", "v")
+    replica = Engine(spark, str(tmp_path / "s"), read_only=True)
+    for change in (lambda: replica.drop_namespace("a"), replica.compact):
+        with pytest.raises(ReadOnly):
+            change()
+    assert replica.list_namespaces() == ["a"]

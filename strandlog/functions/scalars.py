@@ -136,12 +136,12 @@ def revision_base32(rev: Column) -> Column:
 
 
 def literal(text: str) -> Any:
-    """A value as typed in an expression: quoted text, true or false, integer, float, else bare text."""
+    """A value as typed in an expression: quoted text, true or false in any case, integer, float, else bare text."""
     text = text.strip()
     if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
         return text[1:-1]
-    if text in ("true", "false"):
-        return text == "true"
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
     if re.fullmatch(r"[+-]?[0-9]+", text) and -(1 << 63) <= int(text) < 1 << 63:
         return int(text)
     if re.fullmatch(r"[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?", text):

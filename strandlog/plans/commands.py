@@ -13,7 +13,6 @@ from typing import Any
 
 from strandlog.functions.scalars import key_of_token
 from strandlog.plans.engine import DEFAULT, Engine
-from strandlog.sources.store import dump
 
 SCAN_LIMIT = 10
 
@@ -126,7 +125,7 @@ class Shell:
         return self.engine.store.repair()
 
     def do_dump(self, path: str) -> None:
-        dump(self.space.log(), path, self.engine.clock())
+        self.space.dump(path)
 
     def do_destroy(self) -> None:
         self.engine.store.destroy()

@@ -6,6 +6,7 @@ checkpoint makes the next run go on from there.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -18,6 +19,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandlog.operators import log as L
 from strandlog.operators import queues as Q
+from strandlog.sources.shared import ensure_checkpoint_dir
+from strandlog.sources.store import Files
 
 
 def changes(spark: SparkSession, path: str, schema: T.StructType = L.SCHEMA) -> DataFrame:
@@ -68,11 +71,35 @@ def without_repeats(feed: DataFrame) -> DataFrame:
     return flat.groupBy("ns", "key").applyInPandasWithState(step, _KEPT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def deliver(spark: SparkSession, messages: DataFrame, count: int, now_ms: int, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """For `foreachBatch`: in each micro-batch the first `count` live messages per queue go to the sink."""
+def deliver(
+    spark: SparkSession, messages: DataFrame, count: int, now_ms: int, sink: Callable[[DataFrame, int], None], backlog: str | None = None
+) -> Callable[[DataFrame, int], None]:
+    """For `foreachBatch`: with each micro-batch the first `count` live messages per queue go to the sink.
+
+    What isn't delivered waits in the folder `backlog` and comes before later messages by its id.  The folder belongs to the
+    stream's checkpoint; without one the backlog lasts as long as the returned function.  Each batch writes
+    the messages that are left as a table of its own number, so a batch that runs again finds what it found before.
+    """
+    root = backlog or f"{ensure_checkpoint_dir(spark)}/backlog-{uuid.uuid4().hex}"
+
+    def table(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(Q.pop(batch, count, now_ms), number)
+        files = Files(spark, root)
+        earlier = [n for n in (int(f.removeprefix("left=")) for f in files.names("") if f.startswith("left=")) if n < number]
+        waiting = Q.pending(batch, now_ms)
+        if earlier:
+            held = spark.read.schema(batch.schema).parquet(f"{root}/left={max(earlier)}")
+            waiting = Q.pending(held, now_ms).unionByName(waiting)
+        taken = table(Q.pop(waiting, count, now_ms), f"taken={number}")
+        table(Q.without(waiting, taken).select(batch.columns), f"left={number}")
+        sink(taken, number)
+        for n in earlier:
+            files.delete(f"taken={n}")
+            if n < max(earlier):
+                files.delete(f"left={n}")
 
     return each
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlog.operators import log as L
+from strandlog.plans import lang
 from strandlog.plans.commands import Shell
 from strandlog.plans.engine import Engine, KeyNotFound, ReadOnly
 from strandlog.sources import store as ST
@@ -163,6 +164,51 @@ def test_graph_session(engine):
     assert [r.key for r in g.run("?{person}").collect()] == ["carol"]
 
 
+def test_a_deleted_node_goes_with_its_links_in_one_commit(engine):
+    g = engine.graph("yard")
+    for name in ("box", "shelf"):
+        g.create_table(name)
+    g.create_link("on", "box", "shelf")
+    g.create_link("next", "box", "box")
+    for line in ("+{box été}", "+{box b}", "+{box c}", "+{shelf s}", "+(on été -> s)", "+(on b -> s)", "+(next été -> b)", "+(next b -> c)"):
+        g.run(line)
+    before = len(engine.store.commits())
+    assert g.delete_node("box", "été") == 1
+    assert len(engine.store.commits()) == before + 1
+    left = g.graph()
+    assert sorted(r.key for r in left.tables["box"].collect()) == ["b", "c"]
+    assert [(r.src, r.dst) for r in left.links["on"].entries.collect()] == [("b", "s")]
+    assert [(r.src, r.dst) for r in left.links["next"].entries.collect()] == [("b", "c")]
+    assert g.delete_node("box", "b", cascade=True) == 3
+    left = g.graph()
+    assert all(t.isEmpty() for t in left.tables.values()) and all(x.entries.isEmpty() for x in left.links.values())
+
+
+def test_dump_of_a_locked_namespace_stays_encrypted(engine, spark, tmp_path):
+    engine.namespace("vault", "pass").put("k", "hidden words")
+    engine.namespace("vault", "pass").dump(str(tmp_path / "dump"))
+    held = spark.read.parquet(str(tmp_path / "dump")).collect()
+    assert all(b"hidden" not in bytes(r.value or b"") for r in held)
+    other = ST.LogStore(spark, str(tmp_path / "other"))
+    ST.load(spark, str(tmp_path / "dump"), other, lambda rev: rev)
+    with pytest.raises(PermissionError):
+        Engine(spark, str(tmp_path / "other")).namespace("vault")
+    with pytest.raises(PermissionError):
+        Engine(spark, str(tmp_path / "other")).namespace("vault", "guess")
+    assert Engine(spark, str(tmp_path / "other")).namespace("vault", "pass").get("k") == b"hidden words"
+
+
+def test_start_of_a_traversal_keeps_its_offset(engine):
+    g = engine.graph("o")
+    g.create_table("p")
+    g.create_link("to", "p", "p")
+    for line in ("+{p a}", "+{p b}", "+{p x}", "+{p y}", "+(to a -> x)", "+(to b -> y)"):
+        g.run(line)
+    plan = lang.parse("?{p} -> (to) -> {p}")
+    plan.start.offset, plan.start.limit = 1, 1
+    assert [r.key for r in lang.to_frame(g.graph(), plan).collect()] == ["y"]
+
+
 def test_time_travel(engine):
     g = engine.graph("t")
     g.create_table("p")

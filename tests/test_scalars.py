@@ -37,6 +37,7 @@ def test_bad_durations():
 def test_tokens_and_literals():
     assert [S.key_of_token(t) for t in ("true", "false", "42", "-7", "x", "99999999999999999999")] == [1, 0, 42, -7, "x", "99999999999999999999"]
     assert [S.literal(t) for t in ("42", "3.14", "true", '"hello"', "world")] == [42, 3.14, True, "hello", "world"]
+    assert [S.literal(t) for t in ("TRUE", "False", '"TRUE"')] == [True, False, "TRUE"]
     assert S.show_bytes(2048) == "2.0 KB" and S.show_duration(7_200_000) == "2h"
     assert S.property_json(b"abc") == "<3 bytes>" and S.property_of_json("[1, 2]") == (1.0, 2.0)
     for bad in ('{"a": 1}', "[1]", "[1, 2, 3]"):

@@ -127,17 +127,21 @@ def node_merge_maps(spark, d):
 
 @query("link_get", "SELECT o_orderkey::VARCHAR AS src, o_custkey::VARCHAR AS dst, o_totalprice AS total FROM orders WHERE o_orderkey = 5")
 def link_get(spark, d):
-    return D.commerce_graph(spark, d).links["placed-by"].entries.where("src = '5'")
+    g = D.commerce_graph(spark, d)
+    dst = D.table(spark, d, "orders").where("o_orderkey = 5").select(F.col("o_custkey").cast("string")).first()
+    return g.entry("placed-by", "5", dst[0] if dst else "")
 
 
 @query("expand_out", "SELECT DISTINCT l_partkey::VARCHAR AS dst FROM lineitem WHERE l_orderkey = 7")
 def expand_out(spark, d):
-    return D.commerce_graph(spark, d).links["contains"].entries.where("src = '7'").select("dst")
+    g = D.commerce_graph(spark, d)
+    return g.outgoing("contains", g.start("orders", "7")).select("dst")
 
 
 @query("expand_in", "SELECT c_custkey::VARCHAR AS src FROM customer WHERE c_nationkey = 3")
 def expand_in(spark, d):
-    return D.commerce_graph(spark, d).links["customer-of"].entries.where("dst = '3'").select("src")
+    g = D.commerce_graph(spark, d)
+    return g.incoming("customer-of", g.start("nation", "3")).select("src")
 
 
 @query("link_query", "SELECT l_orderkey::VARCHAR AS src, l_partkey::VARCHAR AS dst, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity::DECIMAL(18,2)) > 60")
@@ -157,9 +161,35 @@ def endpoint_violations(spark, d):
 
 @query("link_delete", "SELECT o_orderkey::VARCHAR AS src, o_custkey::VARCHAR AS dst FROM orders WHERE o_orderkey % 2 = 1")
 def link_delete(spark, d):
-    entries = D.commerce_graph(spark, d).links["placed-by"].entries
-    gone = entries.where("CAST(src AS BIGINT) % 2 = 0").select("src", "dst")
-    return entries.join(gone, ["src", "dst"], "left_anti").select("src", "dst")
+    g = D.commerce_graph(spark, d)
+    gone = g.links["placed-by"].entries.where("CAST(src AS BIGINT) % 2 = 0")
+    return g.delete_entries("placed-by", gone).links["placed-by"].entries.select("src", "dst")
+
+
+@query("link_insert", """SELECT o_orderkey::VARCHAR AS src, o_custkey::VARCHAR AS dst, CASE WHEN o_orderkey % 5 = 0 THEN 1.5 ELSE o_totalprice::DOUBLE END AS total FROM orders
+  UNION ALL SELECT 'new' || c_custkey, c_custkey::VARCHAR, 2.5 FROM customer""")
+def link_insert(spark, d):
+    """Entries are known by both ends: a fifth is replaced, one for each customer is new."""
+    g = D.commerce_graph(spark, d)
+    again = g.links["placed-by"].entries.where("CAST(src AS BIGINT) % 5 = 0").select("src", "dst", F.lit(1.5).alias("total"))
+    new = g.tables["customer"].select(F.concat(F.lit("new"), "key").alias("src"), F.col("key").alias("dst"), F.lit(2.5).alias("total"))
+    return g.insert_entries("placed-by", again.unionByName(new)).links["placed-by"].entries.select("src", "dst", F.col("total").cast("double").alias("total"))
+
+
+@query("link_update", """SELECT o_orderkey::VARCHAR AS src, o_custkey::VARCHAR AS dst, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice::DOUBLE END AS total,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'settled' END AS state FROM orders""")
+def link_update(spark, d):
+    """A third of the entries get a property and lose another; an entry that doesn't exist is not made."""
+    g = D.commerce_graph(spark, d)
+    third = g.links["placed-by"].entries.where("CAST(src AS BIGINT) % 3 = 0").select("src", "dst")
+    nowhere = g.tables["customer"].select(F.lit("none").alias("src"), F.col("key").alias("dst"))
+    changed = g.update_entries("placed-by", third.unionByName(nowhere).withColumn("state", F.lit("settled")), removed=["total"])
+    return changed.links["placed-by"].entries.select("src", "dst", F.col("total").cast("double").alias("total"), "state")
+
+
+@query("link_count", "SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000")
+def link_count(spark, d):
+    return G.count(D.commerce_graph(spark, d).links["placed-by"].entries, Gt("total", 1000.0))
 
 
 # ---- traversal
@@ -240,11 +270,13 @@ def trav_paths_all(spark, d):
     return found.select("start_key", shown.alias("path"), "key")
 
 
-@query("trav_bidi", """SELECT 'supplier' AS tbl, b.s_suppkey::VARCHAR AS key FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey = 1""")
+@query("trav_bidi", """SELECT a.k AS start_key, s_suppkey::VARCHAR AS key FROM supplier JOIN (SELECT s_nationkey AS n, min(s_suppkey::VARCHAR) AS k FROM supplier GROUP BY 1) a
+  ON s_nationkey = a.n AND s_suppkey::VARCHAR <> a.k""")
 def trav_bidi(spark, d):
-    """A link that goes both ways: supplier to nation and on to its other suppliers; the start was visited."""
+    """A link that goes both ways: from each nation's first supplier to the nation and on to its others; the start was visited."""
     g = D.commerce_graph(spark, d)
-    return _leaves(g.traverse(g.start("supplier", "1"), ["supplier-of", "supplier-of"]))
+    first = g.links["supplier-of"].entries.groupBy("dst").agg(F.min("src").alias("key"))
+    return g.traverse(first.select(F.lit("supplier").alias("tbl"), "key"), ["supplier-of", "supplier-of"]).select("start_key", "key")
 
 
 @query("trav_no_hops", "SELECT 'nation' AS tbl, '4' AS key")

@@ -232,6 +232,41 @@ class Graph:
             left.links[name] = replace(x, entries=entries.select(x.entries.columns))
         return left
 
+    # ---- links
+
+    def entry(self, name: str, src: str, dst: str) -> DataFrame:
+        """The entry between two nodes, or no row."""
+        return self._link(name).entries.where((F.col("src") == src) & (F.col("dst") == dst))
+
+    def outgoing(self, name: str, keys: DataFrame) -> DataFrame:
+        """Entries that start at the given keys."""
+        return self._at("src", name, keys)
+
+    def incoming(self, name: str, keys: DataFrame) -> DataFrame:
+        """Entries that end at the given keys."""
+        return self._at("dst", name, keys)
+
+    def _at(self, end: str, name: str, keys: DataFrame) -> DataFrame:
+        entries = self._link(name).entries
+        return entries.join(keys.select(F.col("key").alias(end)), end, "left_semi").select(entries.columns)
+
+    def insert_entries(self, name: str, new: DataFrame) -> Graph:
+        """Whole entries by source and target, new ones replacing old ones; `endpoint_violations` tells whether ends are missing."""
+        return self._with_entries(name, _by_pair(insert(_by_key(self._link(name).entries), _by_key(new))))
+
+    def update_entries(self, name: str, changes: DataFrame, removed: Sequence[str] = ()) -> Graph:
+        """Merge properties into existing entries; those that don't exist stay missing."""
+        merged = update(_by_key(self._link(name).entries), _by_key(changes), removed)
+        return self._with_entries(name, _by_pair(merged.drop("_set")))
+
+    def delete_entries(self, name: str, pairs: DataFrame) -> Graph:
+        """Delete entries by source and target; nodes stay."""
+        entries = self._link(name).entries
+        return self._with_entries(name, entries.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti").select(entries.columns))
+
+    def _with_entries(self, name: str, entries: DataFrame) -> Graph:
+        return Graph(self.spark, dict(self.tables), {**self.links, name: replace(self._link(name), entries=entries)})
+
     def endpoint_violations(self, name: str) -> DataFrame:
         """Entries of a link of which an end doesn't exist."""
         x = self._link(name)
@@ -289,12 +324,15 @@ def _beyond(cursor, sort: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
-def query(nodes: DataFrame, where: Condition | None = None, sort: Sequence[tuple[str, str]] = (), fields: Sequence[str] | dict[str, str] | None = None, limit: int = 0, cursor=None) -> DataFrame:
-    """Filter, sort, cut and project; a limit of 0 is none.  `fields` keeps the key; a dict renames (new name -> property)."""
+def query(nodes: DataFrame, where: Condition | None = None, sort: Sequence[tuple[str, str]] = (), fields: Sequence[str] | dict[str, str] | None = None, limit: int = 0, cursor=None, offset: int = 0) -> DataFrame:
+    """Filter, sort, cut and project; a limit of 0 is none.  Rows have an order if a sort, limit or offset asks for one.  `fields` keeps the key; a dict renames (new name -> property)."""
     out = restrict(nodes, where)
     if cursor is not None:
         out = out.where(_beyond(cursor, sort))
-    out = out.orderBy(*order_by(sort, nodes.schema))
+    if sort or limit or offset:
+        out = out.orderBy(*order_by(sort, nodes.schema))
+    if offset:
+        out = out.offset(offset)
     if limit:
         out = out.limit(limit)
     if fields is None:
@@ -312,6 +350,14 @@ def count(nodes: DataFrame, where: Condition | None = None) -> DataFrame:
     return restrict(nodes, where).agg(F.count("*").alias("n"))
 
 
+def _by_key(entries: DataFrame) -> DataFrame:
+    return entries.select(F.struct("src", "dst").alias("key"), *[c for c in entries.columns if c not in ("src", "dst")])
+
+
+def _by_pair(rows: DataFrame) -> DataFrame:
+    return rows.select("key.src", "key.dst", *[c for c in rows.columns if c != "key"])
+
+
 def insert(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """Whole rows by key, new ones replacing old ones."""
     return nodes.join(new.select("key"), "key", "left_anti").unionByName(new, allowMissingColumns=True)

@@ -172,3 +172,23 @@ def test_deep_traversal_cuts_lineage(spark):
     assert go(g, "000", *["next"] * 9, table="n") == ["n.009"]
     reached = g.discover(g.start("n", "000"), 11).agg(F.max("hops")).first()[0]
     assert reached == 11
+
+
+def test_link_entries(spark):
+    a = spark.createDataFrame([("1",), ("2",), ("3",)], "key string")
+    rows = spark.createDataFrame([("1", "2", 5, "x"), ("1", "3", None, None), ("3", "2", 7, "y")], "src string, dst string, w int, s string")
+    g = G.Graph(spark, {"a": a}, {"to": G.Link("a", "a", rows)})
+    shown = lambda df: sorted(map(tuple, df.select("src", "dst", "w").collect()))
+    assert shown(g.entry("to", "1", "2")) == [("1", "2", 5)] and g.entry("to", "2", "1").isEmpty()
+    ones = g.start("a", "1").unionByName(g.start("a", "1"))  # a repeated key gives its entries once
+    assert len(g.outgoing("to", ones).collect()) == 2 and len(g.incoming("to", g.start("a", "2")).collect()) == 2
+    new = spark.createDataFrame([("1", "2", 9), ("2", "3", 1)], "src string, dst string, w int")
+    put = g.insert_entries("to", new)
+    assert [r for r in shown(put.links["to"].entries) if r[2]] == [("1", "2", 9), ("2", "3", 1), ("3", "2", 7)]
+    assert put.entry("to", "1", "2").first().s is None  # replaced as a whole
+    merged = g.update_entries("to", new, removed=["s"]).links["to"].entries
+    assert {(r.src, r.dst): (r.w, r.s) for r in merged.collect()} == {("1", "2"): (9, None), ("1", "3"): (None, None), ("3", "2"): (7, "y")}
+    assert shown(g.delete_entries("to", new).links["to"].entries.fillna(0)) == [("1", "3", 0), ("3", "2", 7)]
+    assert len(g.links["to"].entries.collect()) == 3  # the graph itself stays as it was
+    with pytest.raises(G.NotFound):
+        g.outgoing("from", ones)

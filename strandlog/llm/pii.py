@@ -42,6 +42,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+",
 }
 BASE = ("email", "ip", "card", "phone")
+ADDED = ("number", "secret")
 #: Calibrated probability from which a proposed span is taken.
 SELECT = 0.6
 _BEFORE, _AFTER = 24, 12
@@ -196,9 +197,9 @@ def select(described: DataFrame, model: boosting.Boosted, probability: float = S
 
 
 def find(docs: DataFrame, model: boosting.Boosted, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per document: counts of base kinds, `base_spans` and `all_spans` as arrays of (start, order, kind, stop)."""
+    """Per document: counts of base kinds and of the added kinds, `base_spans` and `all_spans` as arrays of (start, order, kind, stop)."""
     taken = select(describe(propose(docs, text_col, id_col)), model)
-    place = F.array_position(F.array(*map(F.lit, [*BASE, "number", "secret"])), F.col("kind"))
+    place = F.array_position(F.array(*map(F.lit, [*BASE, *ADDED])), F.col("kind"))
     span = F.struct("start", place.alias("place"), "kind", "stop")
 
     def gather(flag: Column) -> Column:
@@ -206,6 +207,7 @@ def find(docs: DataFrame, model: boosting.Boosted, text_col: str = "text", id_co
 
     return taken.groupBy("_row", "doc_id").agg(
         *[F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in BASE],
+        *[F.count(F.when(F.col("taken") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in ADDED],
         gather(F.col("base")).alias("base_spans"),
         gather(F.col("taken")).alias("all_spans"),
     )
@@ -233,4 +235,5 @@ def as_text(spans: Column) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(spark))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("all_spans")).alias("spans"))
+    spans = [F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("all_spans")).alias("spans")]
+    return found.select("doc_id", *[f"n_{k}" for k in BASE], *spans, *[f"n_{k}" for k in ADDED])

@@ -166,6 +166,9 @@ def test_personal_data(make, pii_model):
     assert len(rows) == len(PII_TEXTS)
     check_pii(rows, dict(enumerate(PII_TEXTS)))
     assert "secret:9:49" in next(r.spans for r in rows if r.doc_id == 12)
+    for r in df.collect():
+        for kind in pii.ADDED:
+            assert r[f"n_{kind}"] == sum(x.kind == kind for x in r.all_spans)
     assert pii.find(make(["x"]).limit(0), pii_model).isEmpty()
 
 

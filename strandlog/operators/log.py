@@ -248,8 +248,11 @@ def namespace_sentinel() -> Column:
 
 
 def conflicts(arrivals: DataFrame, order: str, keys: list[str] | None = None) -> DataFrame:
-    """Per key how many records came after a newer one; `order` is the arrival."""
-    w = Window.partitionBy(*(keys or KEY)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """Per key how many records came after a newer one; `order` is the arrival.
+
+    Of records that arrive together none came after another: they are taken oldest first, whatever order they are read in.
+    """
+    w = Window.partitionBy(*(keys or KEY)).orderBy(order, "rev").rowsBetween(Window.unboundedPreceding, -1)
     late = F.coalesce(F.col("rev") <= F.max("rev").over(w), F.lit(False))
     return arrivals.withColumn("_late", late).groupBy(*(keys or KEY)).agg(F.count_if("_late").alias("rejected"))
 

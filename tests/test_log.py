@@ -111,6 +111,13 @@ def test_two_peers_converge(spark):
     assert L.last_writer_wins(a.union(b), own_cluster=2).first().value == b"value_a"
 
 
+def test_records_that_arrive_together(spark):
+    """In whatever order they are read, none came after the other; an older one that arrives later did."""
+    made = [spark.createDataFrame([("n", None, "k", (at, at, 0, 0), "data", b"", None, None, 0)], L.SCHEMA).withColumn("arrival", F.lit(arrival)) for at, arrival in ((2, 5), (3, 5), (1, 6))]
+    for a, b, c in ((0, 1, 2), (1, 0, 2), (2, 1, 0)):
+        assert L.conflicts(made[a].union(made[b]).union(made[c]).coalesce(1), "arrival").first().rejected == 1
+
+
 def test_scans(both):
     rows, log = both
     view = L.live(log, NOW).where("ns = 'n0'")

@@ -14,7 +14,7 @@ sharply as independent hashing does, and a set of n elements costs about n + t l
    enough share an element among their rarest ones (prefix filter), so classes of different components meet by
    those, and what meets is confirmed on the full sets.  Classes of the commonest component at an element aren't paired
    with each other; those of many different components that share a rare element are.
-4. Components of all links.  Each document gets the least id of its component.
+4. Components of these components by the links found so.  Each document gets the least id of its component.
 
 Two sets at the threshold of 0.8 share no band with probability below 1e-5.
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import Scratch, add_columns, hot_join, text_key
+from strandlog.llm.common import Scratch, add_columns, hot_join, small_join, text_key
 from strandlog.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -233,10 +233,14 @@ def _classes(rows: DataFrame, docs: DataFrame, scratch: Scratch, words: int, per
     labels = components(links, scratch, "first")
     more = _rest(entries.select("bucket", "node"), labels, sets, scratch, percent).join(pairs, ["a", "b"], "left_anti")
     more = scratch.put(_confirm(more, sets, percent), "more_links")
-    if not more.isEmpty():
-        labels = components(links.union(more), scratch, "all")
     joined = classes.select("set_a", "set_b", "node", "least").join(labels, "node", "left")
-    joined = scratch.put(joined.withColumn("component", F.coalesce("component", "node")).drop("node"), "joined")
+    joined = joined.withColumn("component", F.coalesce("component", "node")).drop("node")
+    if not more.isEmpty():  # they link whole components, so only those are searched again
+        for end in ("a", "b"):
+            more = more.join(labels.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        over = components(more, scratch, "all").select(F.col("node").alias("component"), F.col("component").alias("over"))
+        joined = small_join(joined, over, ["component"], "left").withColumn("component", F.coalesce("over", "component")).drop("over")
+    joined = scratch.put(joined, "joined")
     least = joined.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("members"))
     found = scratch.put(hot_join(joined.drop("least"), least, ["component"], "members").drop("members"), "found")
     scratch.drop("joined", "classes", "entries", "pairs", "sets", "links", "more_links", *(f"rest_{k}" for k in ("nodes", "elements", "often", "prefix", "main")))

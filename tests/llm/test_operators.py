@@ -284,6 +284,16 @@ def test_components(spark, scratch):
     assert components(df.limit(0), scratch()).isEmpty()
 
 
+def test_a_step_of_components_shuffles_three_times_at_most(spark, scratch):
+    """Each shuffle is a stage of as many tasks as there are partitions, and the driver keeps an account of every task."""
+    from strandlog.llm import components as module
+
+    df = spark.createDataFrame([(9, k) for k in range(9)] + [(k, 3) for k in range(10, 400)], "u long, v long")
+    plan = module._step(scratch().put(df, "links"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+    assert {(x.node, x.component) for x in components(df.toDF("a", "b"), scratch()).collect()} == {(k, 0) for k in range(1, 400)}
+
+
 # ---- pages
 
 

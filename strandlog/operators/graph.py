@@ -24,6 +24,8 @@ from strandlog.sources.shared import settle
 #: Up to this many hops make one lazy plan; each further hop is written to the shared folder, since a plan that holds
 #: every level twice, as frontier and as visited nodes, would double with each hop.
 LAZY_HOPS = 3
+#: Up to this many paths of one start are compared in one row; `traverse` knows the bound from the links' largest fan-outs.
+TOGETHER = 10_000
 START, NODE = ["start_tbl", "start_key"], ["tbl", "key"]
 
 
@@ -133,13 +135,17 @@ class Graph:
         if with_paths:
             frontier = frontier.withColumn("path", F.array(F.struct("tbl", "key")))
         seen = frontier.select(*START, *NODE)
+        fan_out = self._fan_out(hops[0]) if with_paths and len(hops) > 1 else None
         for i, hop in enumerate(hops):
-            reached = self._step(frontier, hop)
-            reached = reached.join(seen, [*START, *NODE], "left_anti")
-            if with_paths:
-                frontier = reached.groupBy(*START, *NODE).agg(F.min("path").alias("path"))
+            fan_out = fan_out * self._fan_out(hop) if fan_out and i and fan_out <= TOGETHER else fan_out
+            if fan_out and i and fan_out <= TOGETHER:
+                frontier = self._step_together(frontier, seen, hop)
             else:
-                frontier = reached.select(*START, *NODE).distinct()
+                reached = self._step(frontier, hop).join(seen, [*START, *NODE], "left_anti")
+                if with_paths:
+                    frontier = reached.groupBy(*START, *NODE).agg(F.min("path").alias("path"))
+                else:
+                    frontier = reached.select(*START, *NODE).distinct()
             if i + 1 < len(hops):
                 if i + 1 >= LAZY_HOPS:
                     frontier = settle(frontier)
@@ -147,18 +153,53 @@ class Graph:
                 seen = seen.unionByName(frontier.select(*START, *NODE))
         return frontier
 
-    def _step(self, frontier: DataFrame, hop: Hop) -> DataFrame:
+    def _ways(self, hop: Hop) -> list[tuple[str, str, DataFrame]]:
+        """For each way over the hop's link: table it leads from, table it leads to, (_near, _far) of the entries that pass."""
         link = self._link(hop.link)
         entries = restrict(link.entries, hop.link_filter)
         ways = [(link.target, "dst", link.source, "src")] if hop.backwards else [(link.source, "src", link.target, "dst")]
         if link.bidirectional:
             ways.append((link.source, "src", link.target, "dst") if hop.backwards else (link.target, "dst", link.source, "src"))
-        out = None
+        out = []
         for from_table, near, to_table, far in ways:
             pairs = entries.select(F.col(near).alias("_near"), F.col(far).alias("_far"))
             if hop.node_filter is not None:
                 nodes = self._passing(to_table, hop.node_filter)
                 pairs = pairs.join(nodes, F.col("_far") == F.col("_node"), "left_semi")
+            out.append((from_table, to_table, pairs))
+        return out
+
+    def _fan_out(self, hop: Hop) -> int:
+        """The most entries that lead on from one node; 0 (not known) if any leads to a missing key."""
+        total = 0
+        for _, _, pairs in self._ways(replace(hop, node_filter=None)):
+            by_node = pairs.groupBy("_near").agg(F.count("*").alias("n"), F.count("_far").alias("known"))
+            most, lost = by_node.agg(F.max("n"), F.sum(F.col("n") - F.col("known"))).first()
+            if lost:
+                return 0
+            total += most or 0
+        return max(total, 1)
+
+    def _step_together(self, frontier: DataFrame, seen: DataFrame, hop: Hop) -> DataFrame:
+        """The next frontier with paths, for starts of few paths each: what a node leads to travels to the start as one list, and is
+        compared there, so that neither a row per path nor the paths' common part is shuffled."""
+        met = None
+        for from_table, to_table, pairs in self._ways(hop):
+            lists = pairs.groupBy("_near").agg(F.collect_set("_far").alias("far"))
+            one = frontier.where(F.col("tbl") == from_table).join(lists, F.col("key") == F.col("_near"))
+            one = one.select(*START, F.struct(F.lit(to_table).alias("tbl"), "far", "path").alias("way"), F.lit(None).cast("struct<tbl:string,key:string>").alias("old"))
+            old = seen.where(F.col("tbl") == to_table).select(*START, F.lit(None).cast(one.schema["way"].dataType).alias("way"), F.struct(*NODE).alias("old"))
+            met = one.unionByName(old) if met is None else met.unionByName(one).unionByName(old)
+        each = met.repartition(*START).groupBy(*START).agg(F.collect_list("way").alias("ways"), F.collect_list("old").alias("old"))
+        found = F.flatten(F.transform("ways", lambda w: F.transform(w.far, lambda k: F.struct(F.struct(w.tbl.alias("tbl"), k.alias("key")).alias("node"), w.path.alias("path")))))
+        each = each.select(*START, F.sort_array(F.filter(found, lambda x: ~F.array_contains("old", x.node))).alias("found"))
+        first = F.filter("found", lambda x, i: (i == 0) | (F.get("found", i - 1).node != x.node))
+        each = each.select(*START, F.inline(first))
+        return each.select(*START, "node.tbl", "node.key", F.concat("path", F.array("node")).alias("path"))
+
+    def _step(self, frontier: DataFrame, hop: Hop) -> DataFrame:
+        out = None
+        for from_table, to_table, pairs in self._ways(hop):
             met = frontier.where(F.col("tbl") == from_table).join(pairs, F.col("key") == F.col("_near"))
             met = met.withColumns({"tbl": F.lit(to_table), "key": F.col("_far")}).drop("_near", "_far")
             if "path" in met.columns:

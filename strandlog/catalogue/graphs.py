@@ -255,7 +255,7 @@ def trav_paths(spark, d):
     g = D.commerce_graph(spark, d)
     starts = g.tables["orders"].where("CAST(key AS BIGINT) < 10").select(F.lit("orders").alias("tbl"), "key")
     found = g.traverse(starts, ["contains", "supplied-by"], with_paths=True)
-    shown = F.array_join(F.transform("path", lambda n: F.concat_ws("/", n.tbl, n.key)), " ")
+    shown = F.concat_ws(" ", *(F.concat_ws("/", F.col("path")[i].tbl, F.col("path")[i].key) for i in range(3)))
     return found.select("start_key", shown.alias("path"), "key")
 
 
@@ -266,7 +266,7 @@ def trav_paths_all(spark, d):
     g = D.commerce_graph(spark, d)
     starts = g.tables["orders"].select(F.lit("orders").alias("tbl"), "key")
     found = g.traverse(starts, ["contains", "supplied-by"], with_paths=True)
-    shown = F.array_join(F.transform("path", lambda n: F.concat_ws("/", n.tbl, n.key)), " ")
+    shown = F.concat_ws(" ", *(F.concat_ws("/", F.col("path")[i].tbl, F.col("path")[i].key) for i in range(3)))
     return found.select("start_key", shown.alias("path"), "key")
 
 

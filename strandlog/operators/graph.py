@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from strandlog.functions.geo import near, within  # noqa: F401
 from strandlog.functions.predicates import Condition, restrict
 from strandlog.functions.scalars import check_name
-from strandlog.sources.shared import settle
+from strandlog.operators import parcels
+from strandlog.sources.shared import dropped_shuffles, settle
 
 #: Up to this many hops make one lazy plan; each further hop is written to the shared folder, since a plan that holds
 #: every level twice, as frontier and as visited nodes, would double with each hop.
 LAZY_HOPS = 3
-#: Up to this many paths of one start are compared in one row; `traverse` knows the bound from the links' largest fan-outs.
+#: Up to this many paths of one start are compared together; `traverse` knows the bound from the links' largest fan-outs.
 TOGETHER = 10_000
 START, NODE = ["start_tbl", "start_key"], ["tbl", "key"]
 
@@ -135,11 +136,15 @@ class Graph:
         if with_paths:
             frontier = frontier.withColumn("path", F.array(F.struct("tbl", "key")))
         seen = frontier.select(*START, *NODE)
-        fan_out = self._fan_out(hops[0]) if with_paths and len(hops) > 1 else None
+        fan_out = paths = 0
         for i, hop in enumerate(hops):
-            fan_out = fan_out * self._fan_out(hop) if fan_out and i and fan_out <= TOGETHER else fan_out
-            if fan_out and i and fan_out <= TOGETHER:
-                frontier = self._step_together(frontier, seen, hop)
+            if with_paths and len(hops) > 1 and (not i or 0 < fan_out <= TOGETHER):
+                most, entries = self._fan_out(hop)
+                fan_out, paths = (fan_out * most, paths * most) if i else (most, entries)
+            if i and 0 < fan_out <= TOGETHER:
+                frontier = self._step_together(frontier, seen, hop, i + 1, paths)
+            elif not i and fan_out and len(self._ways(hop)) == 1:
+                frontier = self._first_step(frontier, hop)
             else:
                 reached = self._step(frontier, hop).join(seen, [*START, *NODE], "left_anti")
                 if with_paths:
@@ -169,33 +174,50 @@ class Graph:
             out.append((from_table, to_table, pairs))
         return out
 
-    def _fan_out(self, hop: Hop) -> int:
-        """The most entries that lead on from one node; 0 (not known) if any leads to a missing key."""
-        total = 0
-        for _, _, pairs in self._ways(replace(hop, node_filter=None)):
-            by_node = pairs.groupBy("_near").agg(F.count("*").alias("n"), F.count("_far").alias("known"))
-            most, lost = by_node.agg(F.max("n"), F.sum(F.col("n") - F.col("known"))).first()
-            if lost:
-                return 0
-            total += most or 0
-        return max(total, 1)
-
-    def _step_together(self, frontier: DataFrame, seen: DataFrame, hop: Hop) -> DataFrame:
-        """The next frontier with paths, for starts of few paths each: what a node leads to travels to the start as one list, and is
-        compared there, so that neither a row per path nor the paths' common part is shuffled."""
-        met = None
+    def _fan_out(self, hop: Hop) -> tuple[int, int]:
+        """The most entries that lead on from one node, and all entries; (0, 0) (not known) if any leads to a missing key."""
+        total = entries = 0
+        with dropped_shuffles(self.spark):
+            for _, _, pairs in self._ways(replace(hop, node_filter=None)):
+                by_node = pairs.groupBy("_near").agg(F.count("*").alias("n"), F.count("_far").alias("known"))
+                most, n, lost = by_node.agg(F.max("n"), F.sum("n"), F.sum(F.col("n") - F.col("known"))).first()
+                if lost:
+                    return 0, 0
+                total, entries = total + (most or 0), entries + (n or 0)
+        return max(total, 1), entries
+
+    def _lists(self, pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("_near").agg(F.collect_set("_far").alias("far"))
+
+    def _first_step(self, frontier: DataFrame, hop: Hop) -> DataFrame:
+        """The first frontier with paths over a link that leads one way: a start has one path yet, so nothing is compared."""
+        ((from_table, to_table, pairs),) = self._ways(hop)
+        met = frontier.where(F.col("tbl") == from_table).join(self._lists(pairs), F.col("key") == F.col("_near"))
+        met = met.select(*START, "path", F.inline(F.arrays_zip("far")).alias("far"))
+        met = met.where((F.col("start_tbl") != to_table) | (F.col("start_key") != F.col("far")))
+        node = F.struct(F.lit(to_table).alias("tbl"), F.col("far").alias("key"))
+        return met.select(*START, F.lit(to_table).alias("tbl"), F.col("far").alias("key"), F.concat("path", F.array(node)).alias("path"))
+
+    def _step_together(self, frontier: DataFrame, seen: DataFrame, hop: Hop, length: int, paths: int) -> DataFrame:
+        """The next frontier with paths (of `length` nodes so far), for starts of few paths each: what a node leads to travels to the
+        start as one list, packed with many others, so that neither a row per path nor the paths' common part is shuffled."""
+        nodes = [f"{c}{i}" for i in range(length) for c in "tk"]
+        inner = [F.col("path")[i][c].alias(f"{c[0]}{i}") for i in range(1, length - 1) for c in ("tbl", "key")]
+        ways = None
         for from_table, to_table, pairs in self._ways(hop):
-            lists = pairs.groupBy("_near").agg(F.collect_set("_far").alias("far"))
-            one = frontier.where(F.col("tbl") == from_table).join(lists, F.col("key") == F.col("_near"))
-            one = one.select(*START, F.struct(F.lit(to_table).alias("tbl"), "far", "path").alias("way"), F.lit(None).cast("struct<tbl:string,key:string>").alias("old"))
-            old = seen.where(F.col("tbl") == to_table).select(*START, F.lit(None).cast(one.schema["way"].dataType).alias("way"), F.struct(*NODE).alias("old"))
-            met = one.unionByName(old) if met is None else met.unionByName(one).unionByName(old)
-        each = met.repartition(*START).groupBy(*START).agg(F.collect_list("way").alias("ways"), F.collect_list("old").alias("old"))
-        found = F.flatten(F.transform("ways", lambda w: F.transform(w.far, lambda k: F.struct(F.struct(w.tbl.alias("tbl"), k.alias("key")).alias("node"), w.path.alias("path")))))
-        each = each.select(*START, F.sort_array(F.filter(found, lambda x: ~F.array_contains("old", x.node))).alias("found"))
-        first = F.filter("found", lambda x, i: (i == 0) | (F.get("found", i - 1).node != x.node))
-        each = each.select(*START, F.inline(first))
-        return each.select(*START, "node.tbl", "node.key", F.concat("path", F.array("node")).alias("path"))
+            lists = parcels.encode(self._lists(pairs), ["_near"])
+            one = frontier.where(F.col("tbl") == from_table).select(*START, *inner, *NODE).join(lists, F.col("key") == F.col("_near"))
+            ends = {"t0": "start_tbl", "k0": "start_key", f"t{length - 1}": "tbl", f"k{length - 1}": "key"}
+            one = one.select(*(F.col(ends.get(c, c)).alias(c) for c in nodes), F.lit(to_table).alias("to"), "gaps", "far")
+            old = seen.where(F.col("tbl") == to_table).groupBy(*START).agg(F.collect_set("key").alias("far"))
+            old = parcels.encode(old, START).withColumnsRenamed({"start_tbl": "t0", "start_key": "k0"})
+            old = old.select("t0", "k0", *(F.lit(None).cast("string").alias(c) for c in nodes[2:]), F.lit(to_table).alias("to"), "gaps", "far")
+            ways = one.unionByName(old) if ways is None else ways.unionByName(one).unionByName(old)
+        each = parcels.compare(parcels.pack(ways, nodes, parcels.buckets(paths)), nodes)
+        each = each.select(*nodes, "to", F.inline(F.arrays_zip("far")).alias("next"))
+        path = [F.struct(F.col(f"t{i}").alias("tbl"), F.col(f"k{i}").alias("key")) for i in range(length)]
+        last = F.struct(F.col("to").alias("tbl"), F.col("next").alias("key"))
+        return each.select(F.col("t0").alias("start_tbl"), F.col("k0").alias("start_key"), F.col("to").alias("tbl"), F.col("next").alias("key"), F.array(*path, last).alias("path"))
 
     def _step(self, frontier: DataFrame, hop: Hop) -> DataFrame:
         out = None

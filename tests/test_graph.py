@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandlog.functions.predicates import Eq, Gt, In, Like, Lt, NotExists
 from strandlog.operators import graph as G
+from strandlog.operators import parcels
 from strandlog.operators.graph import Graph, Hop, Link
 from strandlog.plans.lang import run_query
 
@@ -67,6 +70,36 @@ def test_no_row_per_path_is_shuffled(web):
     assert 0 < plan.find("Generate inline") < plan.find("Exchange")
 
 
+def test_paths_travel_packed(spark, monkeypatch):
+    """Keys that are numbers, large ones, other texts, and starts that are met again, compared a few at a time."""
+    name = lambda k: str(k * k * 10**11) if k % 3 == 0 else str(k) if k % 3 == 1 else f"n{k} é"
+    r = random.Random(7)
+    g = G.Graph(spark, {"a": spark.createDataFrame([(name(k),) for k in range(60)], "key string")})
+    rows = {(name(r.randrange(60)), name(r.randrange(60))) for _ in range(400)}
+    g.create_link("to", G.Link("a", "a", spark.createDataFrame(sorted(rows), "src string, dst string")))
+    starts = g.tables["a"].select(F.lit("a").alias("tbl"), "key")
+    shown = lambda: sorted(map(repr, g.traverse(starts, ["to", "to", "to"], with_paths=True).collect()))
+    monkeypatch.setattr(parcels, "PATHS", 50)
+    monkeypatch.setattr(parcels, "BUCKET_PATHS", 9000)
+    monkeypatch.setattr(parcels, "WAYS", 300)
+    packed = shown()
+    monkeypatch.setattr(G, "TOGETHER", 0)
+    assert packed == shown() and packed
+
+
+def test_gaps_of_a_parcel_are_small():
+    lists = [[str(k) for k in range(i, 1_000_000, 20_000)] for i in range(600)]
+    gaps, plain = parcels._gaps(pa.array(lists, pa.list_(pa.string())))
+    n, none = len(lists), pa.nulls(len(lists), pa.list_(pa.string()))
+    texts = {"t0": ["a"] * n, "k0": [str(i) for i in range(n)], "t1": ["b"] * n, "k1": [str(i * 7919 % 1000) for i in range(n)], "to": ["c"] * n}
+    part = {c: pa.array(v, pa.string()) for c, v in texts.items()} | {"gaps": gaps, "far": none}
+    made = parcels._parcel(part, ["t0", "k0", "t1", "k1"])
+    assert not plain and len(made) < 30_000 // 2  # 30,000 keys
+    heads, sizes, keys, words = parcels._open([made], ["t0", "k0", "t1", "k1"])
+    assert heads.to_pydict() == texts and words is None
+    assert np.split(keys, np.cumsum(sizes)[:-1])[599].tolist() == [int(k) for k in lists[599]]
+
+
 def test_paths(campus):
     found = campus.traverse(campus.start("person", "alice"), ["attends", "located-in"], with_paths=True).collect()
     assert [[n.key for n in r.path] for r in found] == [["alice", "mit", "cambridge"]]
